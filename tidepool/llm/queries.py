@@ -77,3 +77,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.dartminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
