@@ -84,3 +84,18 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm.dartminhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.multiindex import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op10_crossentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.crossentropy import score
+
+    targets = table(spark, sf_dir, "labels").where("quality = 1")
+    return score(table(spark, sf_dir, "documents"), targets, tokenizer_file("byte_bpe_50k.json"))
