@@ -99,3 +99,73 @@ def op10_crossentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     targets = table(spark, sf_dir, "labels").where("quality = 1")
     return score(table(spark, sf_dir, "documents"), targets, tokenizer_file("byte_bpe_50k.json"))
+
+
+#: A dated list for the synthetic pages: (list, kind, pattern, action, day).
+LIST_ENTRIES = [
+    ("gambling", "domain", "casino-win.example.com", "add", "2024-01-03"),
+    ("gambling", "domain", "casino-win.example.com", "remove", "2024-01-20"),
+    ("gambling", "domain", "casino-win.example.com", "add", "2024-02-01"),
+    ("gambling", "domain", "casino-win.example.org", "add", "2024-01-10"),
+    ("gambling", "domain", "casino-win.example.net", "add", "2024-01-10"),
+    ("gambling", "domain", "free-bets.example.com", "add", "2024-01-05"),
+    ("gambling", "domain", "free-bets.example.org", "add", "2024-01-05"),
+    ("gambling", "domain", "free-bets.example.net", "add", "2024-01-25"),
+    ("spam", "domain", "spam-farm.example.com", "add", "2024-01-01"),
+    ("spam", "domain", "spam-farm.example.org", "add", "2024-01-15"),
+    ("spam", "domain", "spam-farm.example.net", "add", "2024-01-15"),
+    ("spam", "domain", "spam-farm.example.net", "remove", "2024-01-15"),
+    ("spam", "domain", "cheap-pills.example.com", "add", "2024-01-01"),
+    ("spam", "domain", "cheap-pills.example.org", "add", "2024-01-08"),
+    ("spam", "domain", "cheap-pills.example.org", "add", "2024-01-18"),
+    ("spam", "domain", "cheap-pills.example.org", "remove", "2024-02-10"),
+    ("ads", "domain", "ads-track.example.com", "add", "2024-01-02"),
+    ("ads", "domain", "ads-track.example.net", "add", "2024-01-12"),
+    ("adult", "domain", "adult-x.example.com", "add", "2024-01-06"),
+    ("adult", "domain", "adult-x.example.net", "add", "2024-01-06"),
+    ("adult", "domain", "adult-x.example.net", "remove", "2024-02-20"),
+    ("ads", "prefix", "blog.tionsh.example.net/es", "add", "2024-01-04"),
+    ("ads", "prefix", "blog.tionsh.example.com/en", "add", "2024-01-09"),
+    ("ads", "prefix", "blog.tionsh.example.com/en", "remove", "2024-01-30"),
+    ("ads", "prefix", "tionsh.example.net/de", "add", "2024-01-14"),
+]
+
+
+@query
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table has no fetch times: page n counts as fetched on day n modulo 60 of 2024."""
+    from tidepool.llm.urllists import judge
+
+    entries = spark.createDataFrame(LIST_ENTRIES, "list string, kind string, pattern string, action string, day string").select("list", "kind", "pattern", "action", F.to_date("day").alias("at"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(60)).cast("int")).alias("fetched"))
+    done = judge(pages, entries, id_col="page_id")
+    return done.select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), "valid", "n_active", "blocked", F.array_join("lists", ",").alias("lists"), F.col("active_since").cast("string").alias("active_since"))
+
+
+ORACLE["op5_url_lists"] = f"""
+WITH entries(list, kind, pattern, action, day) AS (VALUES {", ".join("('" + "', '".join(e) + "')" for e in LIST_ENTRIES)}),
+changes AS (SELECT DISTINCT list, kind, pattern, action, CAST(day AS DATE) AS since FROM entries),
+spans AS (SELECT *, lead(since) OVER (PARTITION BY list, kind, pattern ORDER BY since, action) AS until FROM changes),
+active AS (SELECT * FROM spans WHERE action = 'add' AND (until IS NULL OR until > since)),
+captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 60 AS INTEGER) AS fetched,
+         nullif(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '') AS host,
+         lower(regexp_extract(url, '^https?://[^/?#]*(/[^?#]*)?', 1)) AS path
+  FROM pages)
+SELECT page_id, host, CAST(fetched AS VARCHAR) AS fetched, host IS NOT NULL AS valid, CAST(count(a.list) AS BIGINT) AS n_active, count(a.list) > 0 AS blocked,
+       coalesce(string_agg(DISTINCT a.list, ',' ORDER BY a.list), '') AS lists, CAST(min(a.since) AS VARCHAR) AS active_since
+FROM captures c LEFT JOIN active a
+  ON c.fetched >= a.since AND (a.until IS NULL OR c.fetched < a.until)
+ AND ((a.kind = 'domain' AND (c.host = a.pattern OR ends_with(c.host, '.' || a.pattern)))
+   OR (a.kind = 'prefix' AND (c.host || c.path = a.pattern OR starts_with(c.host || c.path, a.pattern || '/'))))
+GROUP BY page_id, url, host, fetched
+"""
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.licenses import find_licenses
+
+    done = find_licenses(table(spark, sf_dir, "documents"))
+    hit = lambda h: F.concat_ws(":", h["license"], h["begin_word"].cast("string"), h["end_word"].cast("string"), h["matched"].cast("string"))
+    return done.select("doc_id", "license", "coverage", F.size("hits").cast("long").alias("n_hits"), F.array_join(F.transform("hits", hit), ",").alias("hits"))
