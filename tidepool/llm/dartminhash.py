@@ -12,7 +12,7 @@ are in different components, the next centre is compared with those outside its
 whenever they share a bucket, or is implied by their component.
 
 Cases: copies of one word sequence are one node from the start, so they cost one row each; null and wordless texts are classes of their
-own; texts of one to four words only match their copies; rows with the same id are one document; texts of any length are read whole; an
+own; texts of one to four words only match their copies; rows with the same id are one document, rows without one get a null class; texts of any length are read whole; an
 empty table gives an empty one; other columns of the input are ignored.
 """
 
@@ -230,7 +230,8 @@ def _unsettled(rest: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of df: id, class_id (the smallest id of its class), copy_of (the smallest id with the same words)."""
     kind = df.schema[id_col].dataType
-    docs = df.select(ref(id_col).cast("long").alias("id"), ref(text_col).cast("string").alias("text"))
+    every = df.select(ref(id_col).cast("long").alias("id"), ref(text_col).cast("string").alias("text"))
+    docs = every.where("id IS NOT NULL")
     signed = materialise(sign(docs, settings, "id", "text"), "signed")
     firsts = signed.where("words_hash IS NOT NULL").groupBy("words_hash").agg(F.min("id").alias("node"))
     copies = signed.join(firsts, "words_hash").select("id", "node", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys"))
@@ -256,4 +257,6 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         classed = classed.join(labels.withColumnRenamed("v", "node"), "node", "left")
     else:
         classed = classed.withColumn("label", F.col("node"))
+    unnamed = every.where("id IS NULL").select("id", F.col("id").alias("node"), F.col("id").alias("label"))
+    classed = classed.select("id", "node", "label").unionByName(unnamed)
     return classed.select(F.col("id").cast(kind).alias(id_col), F.coalesce("label", "node").alias("class_id"), F.col("node").alias("copy_of"))

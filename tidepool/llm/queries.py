@@ -169,3 +169,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = find_licenses(table(spark, sf_dir, "documents"))
     hit = lambda h: F.concat_ws(":", h["license"], h["begin_word"].cast("string"), h["end_word"].cast("string"), h["matched"].cast("string"))
     return done.select("doc_id", "license", "coverage", F.size("hits").cast("long").alias("n_hits"), F.array_join(F.transform("hits", hit), ",").alias("hits"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
