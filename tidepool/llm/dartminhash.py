@@ -35,13 +35,13 @@ from tidepool.runtime import materialise
 
 @dataclass(frozen=True)
 class Settings:
-    """words: of a shingle. similarity: least Jaccard similarity of a link. bands x rows: coordinates of a signature. With 80 bands of 8 a
-    pair at 0.8 shares no bucket four times in ten million. small: members up to which a bucket is compared pair by pair at once."""
+    """words: of a shingle. similarity: least Jaccard similarity of a link. bands x rows: coordinates of a signature. With 48 bands of 6 a
+    pair at 0.8 shares no bucket five times in ten million. small: members up to which a bucket is compared pair by pair at once."""
 
     words: int = 5
     similarity: float = 0.8
-    bands: int = 80
-    rows: int = 8
+    bands: int = 48
+    rows: int = 6
     small: int = 6
 
 
