@@ -6,10 +6,10 @@ signature; those under the shingle's weight hit, and every coordinate keeps its
 darts, so two signatures agree in a coordinate as often as their weighted sets do. A document needs about k ln k + 2k darts however long it
 is: the rank up to which it looks falls as its weight grows, and is doubled for documents that still lack a coordinate.
 
-Signatures are cut in bands; documents with an equal band share a bucket. A bucket never makes all its pairs: its centre is compared with
-the other members, pairs that hold (exact Jaccard similarity of the sets of shingles) join components, and as long as members of a bucket
-are in different components, the next centre is compared with those outside its own component. So a link between different texts is found
-whenever they share a bucket, or is implied by their component.
+Signatures are cut in bands; documents with an equal band share a bucket. A bucket never makes all its pairs: its centre, the member that
+shares most with others, is compared with the other members, and pairs that hold (exact Jaccard similarity of the sets of shingles) join
+components. Where members of a bucket are still in different components, its next two centres are compared with those outside their own
+components, then its next four, and so on until such centres link nothing more. Buckets of a few members are compared pair by pair.
 
 Cases: copies of one word sequence are one node from the start, so they cost one row each; null and wordless texts are classes of their
 own; texts of one to four words only match their copies; rows with the same id are one document, rows without one get a null class; texts of any length are read whole; an
@@ -191,21 +191,32 @@ def shingle_sets(df: DataFrame, settings: Settings, id_col: str, text_col: str)
     return map_texts(df, text_col, [id_col], [T.StructField("grams", T.ArrayType(T.LongType(), False))], make, limit=2 << 20)
 
 
-def _compare(members: DataFrame, centres: int, small: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) to compare next, members of buckets too large for that to settle), from members (key, node, label).
+def _compare(members: DataFrame, centres: int, small: int) -> DataFrame:
+    """(key, a, b) to compare next, from members (key, node, label, weight).
 
-    In buckets of at most `small` members all those with different labels are paired. In others the first `centres` members by hash are
-    paired with the members of other labels; without these centres the bucket stays.
+    In buckets of at most `small` members all those with different labels are paired. In others the `centres` heaviest members are paired
+    with the members of other labels: a node that shares many large buckets lies in the middle of its crowd, so most links go through it.
     """
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
-    heads = members.withColumn("place", place).where(F.col("place") <= max(centres, small)).select("key", F.struct("node", "label", "place").alias("h"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    heads = heads.groupBy("key").agg(F.collect_list("h").alias("hs")).join(sizes, "key")
-    each = members.join(heads, "key")
+    heads = _heads(members, max(centres, small)).groupBy("key").agg(F.collect_list(F.struct("node", "label", "place")).alias("hs"))
+    each = members.join(heads.join(members.groupBy("key").agg(F.count("*").alias("n")), "key"), "key")
     chosen = F.filter("hs", lambda h: (h["label"] != F.col("label")) & F.when(F.col("n") <= small, h["node"] > F.col("node")).otherwise(h["place"] <= centres))
-    pairs = each.select("node", F.explode(F.transform(chosen, lambda h: h["node"])).alias("with")).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
-    rest = each.where((F.col("n") > small) & ~F.exists("hs", lambda h: (h["node"] == F.col("node")) & (h["place"] <= centres))).select("key", "node")
-    return pairs, rest
+    pairs = each.select("key", "node", F.explode(F.transform(chosen, lambda h: h["node"])).alias("with"))
+    return pairs.select("key", F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b"))
+
+
+def _heads(members: DataFrame, most: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
+    return members.withColumn("place", place).where(F.col("place") <= most)
+
+
+def _unsettled(members: DataFrame, labels: DataFrame, centres: int, small: int) -> DataFrame:
+    """Members, without the centres just compared, of buckets that were too large to be settled by that and still hold different labels."""
+    large = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > small).select("key")
+    rest = members.join(large, "key", "left_semi").join(_heads(members, centres).select("key", "node"), ["key", "node"], "left_anti")
+    now = rest.drop("label").join(labels.select(F.col("v").alias("node"), "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "weight")
+    now = materialise(now, "members")
+    mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    return now.join(mixed, "key", "left_semi")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -219,14 +230,6 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return same.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("a", "b")
 
 
-def _unsettled(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold different labels, with these labels."""
-    now = rest.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    now = materialise(now, "members")
-    mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    return now.join(mixed, "key", "left_semi")
-
-
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of df: id, class_id (the smallest id of its class), copy_of (the smallest id with the same words)."""
     kind = df.schema[id_col].dataType
@@ -239,19 +242,25 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     copies = materialise(copies, "copies")
     rows = copies.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-    members = materialise(rows.join(shared, "key", "left_semi").select("key", "node", F.col("node").alias("label")), "members")
+    found_in = rows.join(shared, "key", "left_semi")
+    sizes = found_in.groupBy("key").agg(F.count("*").alias("n"))
+    weight = found_in.join(sizes, "key").groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
+    members = materialise(found_in.join(weight, "node").select("key", "node", F.col("node").alias("label"), "weight"), "members")
     wanted = members.select(F.col("node").alias("id")).distinct()
     sets = materialise(shingle_sets(docs.join(wanted, "id", "left_semi"), settings, "id", "text"), "shingles")
     links: DataFrame | None = None
     labels: DataFrame | None = None
     centres = 1
     while not members.isEmpty():
-        pairs, rest = _compare(members, centres, settings.small)
-        found = materialise(_alike(pairs, sets, settings.similarity), "links")
+        pairs = materialise(_compare(members, centres, settings.small), "pairs")
+        found = materialise(_alike(pairs.select("a", "b").distinct(), sets, settings.similarity), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        members = materialise(_unsettled(rest, labels), "members")
-        centres *= 4
+        if centres > 1:
+            # a bucket goes on as long as its centres find links
+            members = members.join(pairs.join(found, ["a", "b"]).select("key").distinct(), "key", "left_semi")
+        members = materialise(_unsettled(members, labels, centres, settings.small), "members")
+        centres *= 2
     classed = copies.select("id", "node")
     if labels is not None:
         classed = classed.join(labels.withColumnRenamed("v", "node"), "node", "left")
