@@ -32,7 +32,7 @@ class Settings:
 
     prior_pair: float = 20.0
     prior_token: float = 0.5
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
 
 
 _CONTEXT = np.int64(0xFFFFFFFF)
@@ -40,51 +40,72 @@ _CONTEXT = np.int64(0xFFFFFFFF)
 
 @dataclass
 class Block:
-    """Tokens of a block's documents end to end, each document closed by the end token, which also stands before its first."""
+    """Tokens of a block's documents end to end, each document closed by the end token, which also stands before its first; tokens are
+    numbered by their place in `vocabulary`; `pairs` are the distinct pairs of neighbours, each token's (with the one before) at place `at`."""
 
-    token: np.ndarray
-    before: np.ndarray
     size: np.ndarray
+    vocabulary: np.ndarray
+    pairs: np.ndarray
+    at: np.ndarray
 
     @property
-    def pair(self) -> np.ndarray:
-        return (self.before + 1) << 32 | self.token
+    def first(self) -> np.ndarray:
+        return self.pairs // len(self.vocabulary)
+
+    @property
+    def second(self) -> np.ndarray:
+        return self.pairs % len(self.vocabulary)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the pairs, of the contexts and of the tokens (the latter two of the whole vocabulary)."""
+        v = self.vocabulary.astype(np.int64)
+        return (v[self.first] + 1) << 32 | v[self.second], (v + 1) << 32 | _CONTEXT, v
+
+
+#: Up to so many possible pairs, a pair is looked up in a table of all.
+TABLE = 1 << 25
 
 
 def _block(texts: pa.ChunkedArray, path: str, end: int) -> Block:
     model = tokens(path)
-    parts = [np.frombuffer(model.encode(b.decode()), "<u4") for chunk in texts.chunks for b in as_bytes(chunk)]
-    size = np.array([len(p) + 1 for p in parts], np.int64)
-    last = np.cumsum(size) - 1
-    token = np.full(int(size.sum()), end, np.int64)
-    inner = np.ones(len(token), bool)
-    inner[last] = False
-    token[inner] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    before = np.concatenate([[end], token[:-1]]).astype(np.int64)
-    return Block(token, before, size)
+    close = np.array([end], "<u4").tobytes()
+    parts = [model.encode(b.decode()) + close for chunk in texts.chunks for b in as_bytes(chunk)]
+    size = np.array([len(p) // 4 for p in parts], np.int64)
+    token = np.frombuffer(b"".join(parts), "<u4")
+    used = np.zeros(end + 1, bool)
+    used[token] = True
+    vocabulary = np.flatnonzero(used)
+    number = np.zeros(end + 1, np.int64)
+    number[vocabulary] = np.arange(len(vocabulary))
+    pair = number[token]
+    pair[1:] += number[token[:-1]] * len(vocabulary)
+    pair[:1] += number[end] * len(vocabulary)
+    ordered = np.sort(pair)
+    pairs = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+    if len(vocabulary) ** 2 <= TABLE:
+        table = np.empty(len(vocabulary) ** 2, np.int32)
+        table[pairs] = np.arange(len(pairs), dtype=np.int32)
+        at = table[pair]
+    else:
+        at = np.searchsorted(pairs, pair).astype(np.int32)
+    return Block(size, vocabulary, pairs, at)
 
 
 def _tally(block: Block, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, count in chosen documents, count in all) of the block's pairs, contexts and tokens."""
-    pairs, n = np.unique(block.pair, return_counts=True)
-    m = np.zeros(len(pairs), np.int64)
-    own, k = np.unique(block.pair[np.repeat(chosen, block.size)], return_counts=True)
-    m[np.searchsorted(pairs, own)] = k
-    keys, target, every = [pairs], [m], [n]
-    for part in ((pairs >> 32 << 32) | _CONTEXT, pairs & _CONTEXT):
-        key, inverse = np.unique(part, return_inverse=True)
-        keys.append(key)
-        target.append(np.bincount(inverse, m).astype(np.int64))
-        every.append(np.bincount(inverse, n).astype(np.int64))
-    return np.concatenate(keys), np.concatenate(target), np.concatenate(every)
+    every = np.bincount(block.at, minlength=len(block.pairs))
+    target = np.bincount(block.at[np.repeat(chosen, block.size)], minlength=len(block.pairs))
+    n = len(block.vocabulary)
+    sums = lambda count: [count, *(np.bincount(side, count, n).astype(np.int64) for side in (block.first, block.second))]
+    return np.concatenate(block.keys()), np.concatenate(sums(target)), np.concatenate(sums(every))
 
 
 def _losses(block: Block, keys: np.ndarray, count: np.ndarray, total: float, vocabulary: int, settings: Settings) -> np.ndarray:
     """Loss of each token, from the counts of all keys (ascending) that the block holds."""
-    of = lambda key: count[np.searchsorted(keys, key)]
-    single = (of(block.token) + settings.prior_token) / (total + settings.prior_token * vocabulary)
-    context = of((block.before + 1) << 32 | _CONTEXT)
-    return -np.log((of(block.pair) + settings.prior_pair * single) / (context + settings.prior_pair))
+    pair, context, token = (count[np.searchsorted(keys, k)] for k in block.keys())
+    single = (token + settings.prior_token) / (total + settings.prior_token * vocabulary)
+    each = -np.log((pair + settings.prior_pair * single[block.second]) / (context[block.first] + settings.prior_pair))
+    return each[block.at]
 
 
 def score(df: DataFrame, targets: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
