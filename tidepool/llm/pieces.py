@@ -18,11 +18,14 @@ import struct
 from struct import pack
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.llm.common import as_bytes, list_array, map_texts
+from tidepool.runtime import ensure_workers
 
 MARK = "▁"
 WORST = float("-inf")
@@ -386,13 +389,10 @@ def encode_texts(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text
 
 def decode_ids(df: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row of df: its id and the text of its ids (null ids: null)."""
-    from pyspark.sql import functions as F
-
-    def texts(series):
+    @F.pandas_udf("string")
+    def texts(ids: pd.Series) -> pd.Series:
         model = codec(model_path)
-        return series.map(lambda x: None if x is None else model.decode([int(i) for i in x]))
-
-    from tidepool.runtime import ensure_workers
+        return ids.map(lambda x: None if x is None else model.decode([int(i) for i in x]))
 
     ensure_workers(df.sparkSession)
-    return df.select(id_col, F.pandas_udf(texts, "string", F.PandasUDFType.SCALAR)(ids_col).alias("decoded"))
+    return df.select(id_col, texts(ids_col).alias("decoded"))

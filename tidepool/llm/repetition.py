@@ -102,6 +102,19 @@ def _tied(first: np.ndarray) -> np.ndarray:
     return ~(first & np.append(first[1:], True))
 
 
+def intervals(words: np.ndarray, starts: np.ndarray, suffixes: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """A word at which a repeat begins, for each interval of neighbours with at least so many words in common whose repeat is maximal: what stands
+    before it is not everywhere the same."""
+    linked = np.flatnonzero(common >= least)
+    if not len(linked):
+        return linked
+    before = np.concatenate([[-1], words[:-1]])
+    before[starts[:-1][starts[:-1] < len(words)]] = -1
+    differ = (before[suffixes[linked]] != before[suffixes[linked + 1]]) | (before[suffixes[linked]] < 0)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(linked) > 1]))
+    return suffixes[linked[first[np.add.reduceat(differ.astype(np.int64), first) > 0]]]
+
+
 def covered(longest: np.ndarray, least: int) -> np.ndarray:
     """Whether each word is within some repeat of at least so many words."""
     at = np.flatnonzero(longest >= least)
@@ -141,7 +154,7 @@ def measure(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     doc = np.repeat(np.arange(len(whole)), np.diff(starts))
     most = np.zeros(len(whole), np.int64)
     np.maximum.at(most, doc, longest)
-    begins = (common >= rules.span_words) & ~np.concatenate([[False], common[:-1] >= rules.span_words])[: len(common)]
+    maximal = intervals(np.array(ids, np.int64), starts, suffixes, common, rules.span_words)
     n = np.array(n_words, np.int64)
     repeat_words = per_document(covered(longest, rules.window), starts)
     span_words = per_document(covered(longest, rules.span_words), starts)
@@ -153,7 +166,7 @@ def measure(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
         "n_dup_lines": np.array(n_dup, np.int64),
         "n_repeat_words": repeat_words,
         "base_failed": failed,
-        "n_intervals": np.bincount(doc[suffixes[begins]], minlength=len(whole)).astype(np.int64),
+        "n_intervals": np.bincount(doc[maximal], minlength=len(whole)).astype(np.int64),
         "covered_words": span_words,
         "longest_repeat": most,
         "kept": ~failed & (span_words <= rules.max_covered * n) & (most <= rules.max_longest),
