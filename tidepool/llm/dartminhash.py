@@ -242,12 +242,13 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     copies = materialise(copies, "copies")
     rows = copies.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-    found_in = rows.join(shared, "key", "left_semi")
+    # merge joins at every size: what they need grows as the input does, and a hot bucket can be split
+    found_in = rows.join(shared.hint("merge"), "key", "left_semi")
     sizes = found_in.groupBy("key").agg(F.count("*").alias("n"))
     weight = found_in.join(sizes, "key").groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
     members = materialise(found_in.join(weight, "node").select("key", "node", F.col("node").alias("label"), "weight"), "members")
     wanted = members.select(F.col("node").alias("id")).distinct()
-    sets = materialise(shingle_sets(docs.join(wanted, "id", "left_semi"), settings, "id", "text"), "shingles")
+    sets = materialise(shingle_sets(docs.join(wanted.hint("merge"), "id", "left_semi"), settings, "id", "text"), "shingles")
     links: DataFrame | None = None
     labels: DataFrame | None = None
     centres = 1
