@@ -44,13 +44,13 @@ def fetch_error(status: Column, content_type: Column, body: Column, most_bytes:
 def follow_redirects(requests: DataFrame, store: DataFrame) -> DataFrame:
     """requests (url) with final_url, status, content_type, body, etag and redirect_error (cross_origin, too_many, no_location).
 
-    Each round follows one hop of the requests that are still redirected, so a round joins only those.
+    A URL that the store doesn't hold answers 404. Each round follows one hop of the requests that are still redirected, so a round joins only those.
     """
-    hop = store.select(F.col("url").alias("at"), "status", "content_type", "body", "location", "etag")
+    hop = store.select(F.col("url").alias("at"), F.lit(True).alias("there"), "status", "content_type", "body", "location", "etag")
     now = requests.select("url", F.col("url").alias("at"))
     done: DataFrame | None = None
     for k in range(MOST_HOPS + 1):
-        got = now.join(hop, "at", "left")
+        got = now.join(hop, "at", "left").withColumn("status", F.when(F.col("there"), F.col("status")).otherwise(404)).drop("there")
         moved = F.coalesce(F.col("status").between(300, 399), F.lit(False))
         scheme = F.regexp_extract("at", r"^([a-z]+)://", 1)
         target = F.when(F.col("location").rlike(r"^(?i)https?://"), F.col("location")).when(F.col("location").startswith("//"), F.concat(scheme, F.lit(":"), "location")).when(
