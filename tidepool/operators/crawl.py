@@ -21,7 +21,7 @@ from tidepool.operators import sitemap as sm
 from tidepool.operators.extract import extract_pages
 from tidepool.operators.search import relevance
 from tidepool.runtime import materialise
-from tidepool.sources.stores import fetch_error, follow_redirects
+from tidepool.sources.stores import fetch_error, follow_redirects, lookup
 
 CORPUS = "canonical_url string, depth int, final_url string, status_code int, title string, description string, markdown string, document string"
 
@@ -51,21 +51,23 @@ class Crawl:
         return (self.start_url, self.written, self.failed, self.skipped, self.pending, self.changed, self.unchanged, self.truncated)
 
 
-def crawl(spark: SparkSession, store: DataFrame, start_url: str, config: Config, *, now: int = 0) -> Crawl:
-    """Crawls a store (tidepool.sources.stores.STORE) from one URL."""
+def crawl(spark: SparkSession, store, start_url: str, config: Config, *, now: int = 0, known: DataFrame | None = None) -> Crawl:
+    """Crawls a store (tidepool.sources.stores.STORE, or a function from URLs to it) from one URL. known: the frontier of a run to go on with."""
     config.validate()
     root = urls.canonicalize(start_url, keep_query=True, allow_private=config.allow_private_network)
     origin = f"{root.scheme}://{root.host}" + ("" if root.port == {"http": 80, "https": 443}[root.scheme] else f":{root.port}")
     found = spark.createDataFrame([(start_url, 0, None, None, "0")], "canonical_url string, depth int, parent_url string, discovery_source string, arrival string")
-    robots_row = store.where(F.col("url") == f"{origin}/robots.txt").select(F.lit(origin).alias("origin"), "status", "body")
+    robots_url = spark.createDataFrame([(f"{origin}/robots.txt",)], "url string")
+    robots_row = lookup(store, robots_url).select(F.lit(origin).alias("origin"), F.lit(True).alias("there"), "status", "body")
     robots = spark.createDataFrame([(origin,)], "origin string").join(robots_row, "origin", "left")
+    robots = robots.withColumn("status", F.when(F.col("there"), F.col("status")).otherwise(404)).drop("there")
     rules = materialise(robots.select("origin", "status").join(rb.parse(robots.select("origin", F.coalesce("body", F.lit("")).alias("body"))), "origin"), "robots")
     if config.sitemap != "off":
-        listed = sm.load(sm.discover(robots.select("origin", F.when(F.col("status") == 200, F.col("body")).alias("body"))), store)
+        listed = sm.load(sm.discover(robots.select("origin", F.when(F.col("status") == 200, F.col("body")).alias("body"))), lambda wanted: lookup(store, wanted).where("status BETWEEN 200 AND 299"))
         first = listed.groupBy("sitemap").agg(F.count("*").alias("n")).orderBy("sitemap").limit(1).select("sitemap")
         seeds = listed.join(first, "sitemap").select(F.col("url").alias("canonical_url"), F.lit(1).alias("depth"), F.lit(None).cast("string").alias("parent_url"), F.lit("sitemap").alias("discovery_source"), F.format_string("1:%010d", "position").alias("arrival"))
         found = found.unionByName(seeds)
-    frontier = materialise(fr.admit(fr.empty(spark), found, now)[0], "frontier")
+    frontier = materialise(fr.admit(known if known is not None else fr.empty(spark), found, now)[0], "frontier")
     wanted = [q.lower().split() for q in config.for_queries]
     written: DataFrame | None = None
     errors: DataFrame | None = None

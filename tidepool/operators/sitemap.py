@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +30,18 @@ def same_origin(url: Column, origin: Column) -> Column:
     return (part(url, 1) != "") & (part(url, 1) == part(origin, 1)) & (part(url, 2) == part(origin, 2)) & (port(url) == port(origin))
 
 
-def load(sitemaps: DataFrame, store: DataFrame, *, origin: str = "origin", sitemap: str = "sitemap") -> DataFrame:
+def load(sitemaps: DataFrame, store: DataFrame | Callable[[DataFrame], DataFrame], *, origin: str = "origin", sitemap: str = "sitemap") -> DataFrame:
     """(origin, sitemap, position, url): the pages that each sitemap lists, those of an index from its first children.
 
-    store: (url, body) of fetched documents. A sitemap that isn't there, and an index without children, lists nothing.
+    store: (url, body) of fetched documents, or a function from URLs (url) to them. A sitemap that isn't there, and an index without children, lists nothing.
     """
-    found = sitemaps.select(F.col(origin).alias("origin"), F.col(sitemap).alias("sitemap")).join(store.select(F.col("url").alias("sitemap"), "body"), "sitemap")
+    get = store if callable(store) else lambda wanted: store
+    asked = sitemaps.select(F.col(origin).alias("origin"), F.col(sitemap).alias("sitemap"))
+    found = asked.join(get(asked.select(F.col("sitemap").alias("url"))).select(F.col("url").alias("sitemap"), "body"), "sitemap")
     found = found.withColumn("locs", locations(F.col("body"))).withColumn("index", F.col("body").contains("<sitemapindex")).drop("body")
     direct = found.where("NOT index").select("origin", "sitemap", F.posexplode("locs").alias("i", "url")).select("origin", "sitemap", F.array(F.lit(0), F.col("i")).alias("at"), "url")
     child = found.where("index").select("origin", "sitemap", F.posexplode(F.slice("locs", 1, MOST_CHILDREN)).alias("c", "child")).where(same_origin(F.col("child"), F.col("origin")))
-    child = child.join(store.select(F.col("url").alias("child"), "body"), "child").select("origin", "sitemap", "c", F.posexplode(locations(F.col("body"))).alias("i", "url"))
+    child = child.join(get(child.select(F.col("child").alias("url"))).select(F.col("url").alias("child"), "body"), "child").select("origin", "sitemap", "c", F.posexplode(locations(F.col("body"))).alias("i", "url"))
     every = direct.unionByName(child.select("origin", "sitemap", F.array("c", "i").alias("at"), "url")).where(same_origin(F.col("url"), F.col("origin")))
     position = F.row_number().over(Window.partitionBy("origin", "sitemap").orderBy("at")) - 1
     return every.withColumn("position", position).where(F.col("position") < MOST_URLS).select("origin", "sitemap", "position", "url")

@@ -9,13 +9,18 @@ from __future__ import annotations
 import http.client
 import json
 import socket
+import time
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidepool.functions.addresses import classify
+from tidepool.runtime import ensure_workers
 from tidepool.sources.stores import STORE
 
 
@@ -63,6 +68,25 @@ def fetch(url: str, *, timeout: float, most_bytes: int, allow_private: bool, eta
         return (url, None, None, None, None, None)
 
 
+def live(*, timeout_ms: int = 30_000, most_bytes: int = 10 << 20, allow_private: bool = False, delay_ms: int = 0) -> Callable[[DataFrame], DataFrame]:
+    """A live store: fetches a table of URLs (url) on the executors. URLs of a host are in one partition, asked one after another, delay_ms apart."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for url in batch["url"]:
+                rows.append(fetch(url, timeout=timeout_ms / 1000, most_bytes=most_bytes, allow_private=allow_private))
+                time.sleep(delay_ms / 1000)
+            out = pd.DataFrame(rows, columns=["url", "status", "content_type", "body", "location", "etag"])
+            yield out.astype({"status": "Int32"})
+
+    def store(urls: DataFrame) -> DataFrame:
+        ensure_workers(urls.sparkSession)
+        return urls.select("url").repartition(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1)).mapInPandas(run, STORE)
+
+    return store
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.urls = json.loads(options["urls"])

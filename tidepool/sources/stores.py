@@ -6,16 +6,26 @@ A store is a table of responses: url, status int, content_type, body string, loc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators.sitemap import same_origin
 from tidepool.runtime import materialise
 
+#: A store is a table of responses, or a function from a table of URLs (url) to their responses, as live fetching is.
 STORE = "url string, status int, content_type string, body string, location string, etag string"
 MOST_HOPS = 10
 
 
+def lookup(store: DataFrame | Callable[[DataFrame], DataFrame], wanted: DataFrame) -> DataFrame:
+    """Responses to the URLs of wanted (url); those of a live store are fetched once and written."""
+    if callable(store):
+        return materialise(store(wanted.distinct()), "fetched")
+    return store.join(wanted.distinct(), "url", "left_semi")
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     """The store of a table of pages (url, html)."""
     return pages.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.col("html").alias("body"), F.lit(None).cast("string").alias("location"), F.sha2(F.col("html").cast("binary"), 256).alias("etag"))
@@ -41,15 +51,15 @@ def fetch_error(status: Column, content_type: Column, body: Column, most_bytes:
     return kind if raw else kind.when(~F.is_valid_utf8(body), "not_html")
 
 
-def follow_redirects(requests: DataFrame, store: DataFrame) -> DataFrame:
+def follow_redirects(requests: DataFrame, store: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """requests (url) with final_url, status, content_type, body, etag and redirect_error (cross_origin, too_many, no_location).
 
     A URL that the store doesn't hold answers 404. Each round follows one hop of the requests that are still redirected, so a round joins only those.
     """
-    hop = store.select(F.col("url").alias("at"), F.lit(True).alias("there"), "status", "content_type", "body", "location", "etag")
     now = requests.select("url", F.col("url").alias("at"))
     done: DataFrame | None = None
     for k in range(MOST_HOPS + 1):
+        hop = (lookup(store, now.select(F.col("at").alias("url"))) if callable(store) else store).select(F.col("url").alias("at"), F.lit(True).alias("there"), "status", "content_type", "body", "location", "etag")
         got = now.join(hop, "at", "left").withColumn("status", F.when(F.col("there"), F.col("status")).otherwise(404)).drop("there")
         moved = F.coalesce(F.col("status").between(300, 399), F.lit(False))
         scheme = F.regexp_extract("at", r"^([a-z]+)://", 1)
