@@ -35,6 +35,10 @@ UNKNOWN_TEXT = " ⁇ "
 REMEMBER = 400_000
 
 
+#: Latin, Greek and Cyrillic letters, and what is neither letter, digit nor mark in any script.
+_letter, _sign = re.compile("[A-Za-zÀ-ÖØ-öø-ɏΑ-ЯЀ-ӿ]"), re.compile(r"\W")
+
+
 class CharMap:
     """The compiled character map: a double-array trie over source bytes whose values point into a block of zero-ended targets."""
 
@@ -105,7 +109,10 @@ class Codec:
         self.plain = self.map is None and not self.squeeze and not self.user and self.escape and self.prefix and not self.suffix and self.fallback and not joins
         self.width = [len(p.encode()) - 2 * p.count(MARK) for p in self.pieces]
         self.join_score = {p: self.scores[i] for p, i in self.ids.items() if len(p) > 1}
-        self.cut = re.compile(f"[{space}]*[^{space}{lone}]+|[{space}]+|{lone or '(?!)'}+" if not joins and not self.user else "(?s).+")
+        # a letter ends its chunk before a sign where no piece has a letter and a sign in a row
+        ends = not any(_letter.match(a) and _sign.match(b) and b != MARK for p in long for a, b in zip(p, p[1:]))
+        word = f"[{space}]*{_letter.pattern}+(?=[^\\w{space}])|" if ends else ""
+        self.cut = re.compile(f"{word}[{space}]*[^{space}{lone}]+|[{space}]+|{lone or '(?!)'}+" if not joins and not self.user else "(?s).+")
         self.known: dict[str, tuple] = {}
         self.known_first: dict[str, tuple] = {}
 
