@@ -39,7 +39,7 @@ _odd = re.compile(r"[^\t-\r\x20-\x7e\xa0-ſ‐-‧‰-⁞]")
 _word = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 REMEMBER = 400_000
 #: Pieces of one length that a task numbers together, about.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 
 
 class Tokens:
