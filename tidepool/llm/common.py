@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from tidepool.runtime import ensure_workers
 
-#: Bytes of text handled at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text, and texts, handled at once.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 4096
 
 
 def ref(name: str):
@@ -26,12 +26,12 @@ def ref(name: str):
 
 
 def slices(batch: pa.RecordBatch, texts: pa.Array, limit: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Consecutive runs of rows whose texts have at most `limit` bytes together, or one row that has more."""
+    """Consecutive runs of at most SLICE_ROWS rows whose texts have at most `limit` bytes together, or one row that has more."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
     ends = np.cumsum(sizes)
     at, done = 0, 0
     while at < len(ends):
-        to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        to = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(ends, done + limit, side="right"))))
         yield batch.slice(at, to - at), texts.slice(at, to - at)
         at, done = to, int(ends[to - 1])
 
