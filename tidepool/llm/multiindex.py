@@ -42,7 +42,7 @@ class Settings:
     rounds: int = 10
     trials: int = 300
     recall: float = 0.98
-    shard_rows: int = 8_192
+    shard_rows: int = 1_024
     block_queries: int = 8_192
 
 
@@ -208,7 +208,7 @@ def search(df: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_i
         out: list[tuple] = []
         if asks.num_rows and holds.num_rows:
             q, x = _matrix(asks.column("qv").combine_chunks()), _matrix(holds.column("v").combine_chunks())
-            cell, squared = holds.column("cell").to_numpy(), (x**2).sum(1)
+            cell, squared, ids = holds.column("cell").to_numpy(), (x**2).sum(1), holds.column("id").to_numpy()
             cells = asks.column("cells").to_pylist()
             for i, (v, own) in enumerate(zip(q, cells)):
                 walked = np.zeros(n_cells, bool)
@@ -217,7 +217,9 @@ def search(df: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_i
                 rough = squared[here] - 2 * (x[here] @ v)
                 if len(here) > 4 * (k + 1):
                     here = here[np.argpartition(rough, 4 * (k + 1))[: 4 * (k + 1)]]
-                out.append((i, here, np.sqrt(((x[here] - v) ** 2).sum(1))))
+                score = np.sqrt(((x[here] - v) ** 2).sum(1))
+                best = np.lexsort((ids[here], score))[: k + 1]
+                out.append((i, here[best], score[best]))
         at = pa.array(np.concatenate([np.full(len(o[1]), o[0]) for o in out]) if out else np.zeros(0, np.int64), pa.int64())
         which = pa.array(np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64), pa.int64())
         return pa.table({"qg": asks.column("qg").take(at), "id": holds.column("id").take(which), "score": pa.array(np.concatenate([o[2] for o in out]) if out else np.zeros(0))})
