@@ -236,7 +236,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     every = df.select(ref(id_col).cast("long").alias("id"), ref(text_col).cast("string").alias("text"))
     docs = every.where("id IS NOT NULL")
     signed = materialise(sign(docs, settings, "id", "text"), "signed")
-    firsts = signed.where("words_hash IS NOT NULL").groupBy("words_hash").agg(F.min("id").alias("node"))
+    # written, so that the join deals both sides anew and a large group of copies can be split
+    firsts = materialise(signed.where("words_hash IS NOT NULL").groupBy("words_hash").agg(F.min("id").alias("node")), "firsts")
     copies = signed.join(firsts, "words_hash").select("id", "node", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys"))
     copies = copies.unionByName(signed.where("words_hash IS NULL").select("id", F.col("id").alias("node"), F.lit(None).cast("array<bigint>").alias("keys")))
     copies = materialise(copies, "copies")
