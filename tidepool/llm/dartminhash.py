@@ -191,32 +191,32 @@ def shingle_sets(df: DataFrame, settings: Settings, id_col: str, text_col: str)
     return map_texts(df, text_col, [id_col], [T.StructField("grams", T.ArrayType(T.LongType(), False))], make, limit=2 << 20)
 
 
-def _compare(members: DataFrame, centres: int, small: int) -> DataFrame:
-    """(key, a, b) to compare next, from members (key, node, label, weight).
+def _buckets(members: DataFrame, most: int) -> DataFrame:
+    """(key, n, hs) of the buckets of members (key, node, label, weight) that hold different labels: how many members, and the `most` heaviest.
+
+    Written, so that joining members with it deals both sides anew, and a bucket that holds a third of all members can be split.
+    """
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
+    heads = members.withColumn("place", place).where(F.col("place") <= most).groupBy("key").agg(F.collect_list(F.struct("node", "label", "place")).alias("hs"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    return materialise(sizes.join(heads, "key").select("key", "n", "hs"), "buckets")
+
+
+def _pairs(each: DataFrame, centres: int, small: int) -> DataFrame:
+    """(key, a, b) to compare next, from members with their buckets.
 
     In buckets of at most `small` members all those with different labels are paired. In others the `centres` heaviest members are paired
     with the members of other labels: a node that shares many large buckets lies in the middle of its crowd, so most links go through it.
     """
-    heads = _heads(members, max(centres, small)).groupBy("key").agg(F.collect_list(F.struct("node", "label", "place")).alias("hs"))
-    each = members.join(heads.join(members.groupBy("key").agg(F.count("*").alias("n")), "key"), "key")
     chosen = F.filter("hs", lambda h: (h["label"] != F.col("label")) & F.when(F.col("n") <= small, h["node"] > F.col("node")).otherwise(h["place"] <= centres))
     pairs = each.select("key", "node", F.explode(F.transform(chosen, lambda h: h["node"])).alias("with"))
     return pairs.select("key", F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b"))
 
 
-def _heads(members: DataFrame, most: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
-    return members.withColumn("place", place).where(F.col("place") <= most)
-
-
-def _unsettled(members: DataFrame, labels: DataFrame, centres: int, small: int) -> DataFrame:
-    """Members, without the centres just compared, of buckets that were too large to be settled by that and still hold different labels."""
-    large = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > small).select("key")
-    rest = members.join(large, "key", "left_semi").join(_heads(members, centres).select("key", "node"), ["key", "node"], "left_anti")
-    now = rest.drop("label").join(labels.select(F.col("v").alias("node"), "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "weight")
-    now = materialise(now, "members")
-    mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    return now.join(mixed, "key", "left_semi")
+def _rest(each: DataFrame, centres: int, small: int) -> DataFrame:
+    """Members, without the centres just compared, of buckets too large to be settled by that."""
+    centre = F.exists("hs", lambda h: (h["node"] == F.col("node")) & (h["place"] <= centres))
+    return each.where((F.col("n") > small) & ~centre).select("key", "node", "weight")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -242,26 +242,28 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     copies = copies.unionByName(signed.where("words_hash IS NULL").select("id", F.col("id").alias("node"), F.lit(None).cast("array<bigint>").alias("keys")))
     copies = materialise(copies, "copies")
     rows = copies.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key", "n")
     # merge joins at every size: what they need grows as the input does, and a hot bucket can be split
-    found_in = rows.join(shared.hint("merge"), "key", "left_semi")
-    sizes = found_in.groupBy("key").agg(F.count("*").alias("n"))
-    weight = found_in.join(sizes, "key").groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
+    found_in = materialise(rows.join(materialise(shared, "shared").hint("merge"), "key"), "found")
+    weight = found_in.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
     members = materialise(found_in.join(weight, "node").select("key", "node", F.col("node").alias("label"), "weight"), "members")
     wanted = members.select(F.col("node").alias("id")).distinct()
     sets = materialise(shingle_sets(docs.join(wanted.hint("merge"), "id", "left_semi"), settings, "id", "text"), "shingles")
     links: DataFrame | None = None
     labels: DataFrame | None = None
     centres = 1
-    while not members.isEmpty():
-        pairs = materialise(_compare(members, centres, settings.small), "pairs")
+    while not (buckets := _buckets(members, max(centres, settings.small))).isEmpty():
+        each = members.join(buckets, "key")
+        pairs = materialise(_pairs(each, centres, settings.small), "pairs")
         found = materialise(_alike(pairs.select("a", "b").distinct(), sets, settings.similarity), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+        rest = _rest(each, centres, settings.small)
         if centres > 1:
             # a bucket goes on as long as its centres find links
-            members = members.join(pairs.join(found, ["a", "b"]).select("key").distinct(), "key", "left_semi")
-        members = materialise(_unsettled(members, labels, centres, settings.small), "members")
+            rest = rest.join(materialise(pairs.join(found, ["a", "b"]).select("key").distinct(), "linked"), "key", "left_semi")
+        known = labels.select(F.col("v").alias("node"), "label")
+        members = materialise(rest.join(known, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "weight"), "members")
         centres *= 2
     classed = copies.select("id", "node")
     if labels is not None:
