@@ -61,11 +61,17 @@ def _waits() -> np.ndarray:
     return np.rint(-np.log((np.arange(65536) + 0.5) / 65536) * _RANK_ONE).astype(np.int64)
 
 
+#: Word hashes that a worker keeps at most.
+REMEMBER = 100_000
+
+
 class Words(dict):
-    """Hash of each word, worked out once."""
+    """Hash of each word; as many as REMEMBER are kept for the next time."""
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < REMEMBER:
+            self[word] = h
         return h
 
 
@@ -160,8 +166,6 @@ def sign(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataF
 
         def work(texts: pa.Array, _rows: pa.RecordBatch) -> list[pa.Array]:
             whole = as_bytes(texts)
-            if len(known) > 1_000_000:
-                known.clear()
             doc, element, count, n, _ = shingles(whole, settings.words, known)
             values = signatures(doc, element, 1 + np.log2(count), len(whole), settings.bands * settings.rows)
             full = n >= settings.words
@@ -171,7 +175,7 @@ def sign(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataF
 
         return work
 
-    return map_texts(df, text_col, [id_col], SIGNED, make, limit=2 << 20)
+    return map_texts(df, text_col, [id_col], SIGNED, make, limit=1 << 20)
 
 
 def shingle_sets(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -181,14 +185,12 @@ def shingle_sets(df: DataFrame, settings: Settings, id_col: str, text_col: str)
         known = Words()
 
         def work(texts: pa.Array, _rows: pa.RecordBatch) -> list[pa.Array]:
-            if len(known) > 1_000_000:
-                known.clear()
             doc, element, _, n, _ = shingles(as_bytes(texts), settings.words, known)
             return [list_array(np.bincount(doc, minlength=len(n)), element.view(np.int64))]
 
         return work
 
-    return map_texts(df, text_col, [id_col], [T.StructField("grams", T.ArrayType(T.LongType(), False))], make, limit=2 << 20)
+    return map_texts(df, text_col, [id_col], [T.StructField("grams", T.ArrayType(T.LongType(), False))], make, limit=1 << 20)
 
 
 def _buckets(members: DataFrame, most: int) -> DataFrame:
