@@ -151,7 +151,7 @@ class Scanner:
 
     def ids(self, words: list[bytes]) -> list[int]:
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 200_000:
             known.clear()
         try:
             return [known[w] for w in words]
