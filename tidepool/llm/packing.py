@@ -32,10 +32,10 @@ from tidepool.runtime import ensure_workers, materialise
 
 #: Letters, numbers and spaces among the characters that the fast path knows: ASCII without odd controls, Latin-1, Latin Extended-A and
 #: general punctuation. Any other text goes to the tokenizer whole.
-_L = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
+_L = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 _N = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = r"\t-\r\x20\xa0"
-_odd = re.compile(r"[^\t-\r\x20-\x7e\xa0-ſ‐-‧‰-⁞]")
+_odd = re.compile(r"[^\t-\r\x20-\x7e\xa0-\u017f\u2010-\u2027\u2030-\u205e]")
 _word = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 REMEMBER = 400_000
 #: Pieces of one length that a task numbers together, about.
