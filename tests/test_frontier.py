@@ -50,6 +50,23 @@ def test_attempts_retries_and_stale_leases(spark):
     assert done.head()["state"] == "skipped" and none.isEmpty()
 
 
+def test_responses_keep_the_lease_and_pages_are_written_from_awaiting(spark):
+    f, leases = frontier.lease_batch(admitted(spark, [("u", 0, None, None, "0")])[0], 10, 1, 100)
+    token = leases.head()["lease_token"]
+    got = spark.createDataFrame([("u", token, "response", "https://f/", 200, "e1")], "canonical_url string, lease_token string, outcome string, final_url string, status_code int, etag string").selectExpr("*", "CAST(NULL AS STRING) AS error", "CAST(NULL AS BIGINT) AS next_eligible_at")
+    f, none = frontier.settle(f, got, 11)
+    row = f.head()
+    assert none.isEmpty() and (row["state"], row["lease_token"], row["final_url"], row["status_code"], row["attempts"]) == ("leased", token, "https://f/", 200, 0)
+    assert frontier.validators(f).head()["etag"] == "e1"
+    one = lambda kind, t: spark.createDataFrame([("u", t, kind, None, None)], "canonical_url string, lease_token string, outcome string, error string, next_eligible_at bigint")
+    f, _ = frontier.settle(f, one("awaiting_output", token), 12)
+    assert f.head()["state"] == "awaiting_output" and f.head()["lease_token"] is None
+    f, none = frontier.settle(f, one("written", "any"), 13)
+    assert f.head()["state"] == "written" and none.isEmpty()
+    assert frontier.settle(f, one("skipped", "any"), 14)[1].count() == 1
+    assert frontier.page(f, "u").count() == 1 and frontier.counts(f).head()["written"] == 1
+
+
 def test_backoff_and_retryable(spark):
     got = spark.range(9).select(frontier.backoff_ms(F.col("id").cast("int")).alias("b")).collect()
     assert [r["b"] for r in got] == [500, 1000, 2000, 4000, 8000, 16000, 32000, 32000, 32000]

@@ -96,7 +96,7 @@ def retryable(status: Column) -> Column:
 def settle(frontier: DataFrame, results: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
     """(frontier, conflicts): each leased row's result applied at once.
 
-    results: canonical_url, lease_token, outcome (attempt, retry, awaiting_output, written, skipped, terminal_error), and the outcome's
+    results: canonical_url, lease_token, outcome (attempt, response, retry, awaiting_output, written, skipped, terminal_error), and the outcome's
     columns next_eligible_at, error, final_url, status_code, output_path, digest, bytes, etag, last_modified. A result needs its row's live lease, but for
     skipped (any row that isn't written or failed) and written (a row that awaits output too); others are returned as conflicts.
     """
@@ -105,8 +105,8 @@ def settle(frontier: DataFrame, results: DataFrame, now: int) -> tuple[DataFrame
     kind = F.col("r.outcome")
     live = (F.col("state") == "leased") & (F.col("lease_token") == F.col("r.lease_token")) & (F.col("lease_expires_at") > now)
     ok = F.coalesce(F.when(kind == "skipped", ~F.col("state").isin("written", "terminal_error")).when(kind == "written", live | (F.col("state") == "awaiting_output")).otherwise(live), F.lit(False)) & kind.isNotNull()
-    keeps_lease = kind == "attempt"
-    state = F.when(kind == "retry", "delayed").when(kind == "attempt", "leased").otherwise(kind)
+    keeps_lease = kind.isin("attempt", "response")
+    state = F.when(kind == "retry", "delayed").when(keeps_lease, "leased").otherwise(kind)
     changed = {
         "state": F.when(ok, state).otherwise(F.col("state")),
         "attempts": F.when(ok & (kind == "attempt"), F.col("attempts") + 1).otherwise(F.col("attempts")).cast("int"),
