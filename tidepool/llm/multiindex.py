@@ -226,7 +226,8 @@ def search(df: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_i
 
     near = probes.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(rank_shard, f"qg string, id {id_type}, score double")
     nearest = F.row_number().over(Window.partitionBy("qg").orderBy("score", "id"))
-    near = near.withColumn("n", nearest).where(F.col("n") <= k + 1).select("qg", "id", "score")
+    # written, so that the join deals both sides anew and a vector that many queries share can be split
+    near = materialise(near.withColumn("n", nearest).where(F.col("n") <= k + 1).select("qg", "id", "score"), "near")
     queries = rows.where("q").select(F.col("id").alias("query_id"), F.col("g").alias("qg")).distinct()
     own = near.join(queries, "qg").where(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
