@@ -19,7 +19,7 @@ from tidepool.llm.packing import pack_documents
 from tidepool.llm.queries import tokenizer_file
 from tidepool.llm.repetition import quality
 from tidepool.llm.secrets import redact
-from tidepool.runtime import materialise, table
+from tidepool.runtime import discard, materialise, table
 
 
 def _prefix(df: DataFrame) -> str:
@@ -68,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
