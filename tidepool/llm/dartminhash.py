@@ -19,7 +19,7 @@ empty table gives an empty one; other columns of the input are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from tidepool.llm.common import as_bytes, list_array, map_texts, ref
 from tidepool.llm.components import components
-from tidepool.runtime import materialise
+from tidepool.runtime import discard, materialise
 
 
 @dataclass(frozen=True)
@@ -243,33 +243,40 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     copies = signed.join(firsts, "words_hash").select("id", "node", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys"))
     copies = copies.unionByName(signed.where("words_hash IS NULL").select("id", F.col("id").alias("node"), F.lit(None).cast("array<bigint>").alias("keys")))
     copies = materialise(copies, "copies")
+    discard(signed, firsts)
     rows = copies.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key", "n")
+    shared = materialise(shared, "shared")
     # merge joins at every size: what they need grows as the input does, and a hot bucket can be split
-    found_in = materialise(rows.join(materialise(shared, "shared").hint("merge"), "key"), "found")
+    found_in = materialise(rows.join(shared.hint("merge"), "key"), "found")
     weight = found_in.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
     members = materialise(found_in.join(weight, "node").select("key", "node", F.col("node").alias("label"), "weight"), "members")
+    discard(shared, found_in)
     wanted = members.select(F.col("node").alias("id")).distinct()
     sets = materialise(shingle_sets(docs.join(wanted.hint("merge"), "id", "left_semi"), settings, "id", "text"), "shingles")
-    links: DataFrame | None = None
+    links: list[DataFrame] = []
     labels: DataFrame | None = None
     centres = 1
     while not (buckets := _buckets(members, max(centres, settings.small))).isEmpty():
         each = members.join(buckets, "key")
         pairs = materialise(_pairs(each, centres, settings.small), "pairs")
-        found = materialise(_alike(pairs.select("a", "b").distinct(), sets, settings.similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        rest = _rest(each, centres, settings.small)
+        links.append(materialise(_alike(pairs.select("a", "b").distinct(), sets, settings.similarity), "links"))
+        discard(labels)
+        labels = components(reduce(DataFrame.unionByName, links))
+        rest, linked = _rest(each, centres, settings.small), None
         if centres > 1:
             # a bucket goes on as long as its centres find links
-            rest = rest.join(materialise(pairs.join(found, ["a", "b"]).select("key").distinct(), "linked"), "key", "left_semi")
+            linked = materialise(pairs.join(links[-1], ["a", "b"]).select("key").distinct(), "linked")
+            rest = rest.join(linked, "key", "left_semi")
         known = labels.select(F.col("v").alias("node"), "label")
-        members = materialise(rest.join(known, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "weight"), "members")
+        after = materialise(rest.join(known, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "weight"), "members")
+        discard(members, buckets, pairs, linked)
+        members = after
         centres *= 2
+    discard(members, buckets, sets, *links)
     classed = copies.select("id", "node")
     if labels is not None:
-        classed = classed.join(labels.withColumnRenamed("v", "node"), "node", "left")
+        classed = classed.join(labels.select(F.col("v").alias("node"), "label"), "node", "left")
     else:
         classed = classed.withColumn("label", F.col("node"))
     unnamed = every.where("id IS NULL").select("id", F.col("id").alias("node"), F.col("id").alias("label"))
