@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +14,17 @@ from tidepool.functions.urls import SPACE
 CSI, OSC, ESCAPE = "\x1b\\[[^@-~]*(?:[@-~]|$)", "\x1b\\][^\x07\x1b]*(?:\x07|\x1b\\\\|(?=\x1b)|$)", "(?s)\x1b.?"
 
 
+#: The same white space as a set of characters.
+WHITE = "".join(chr(c) for c in range(0x3001) if re.match(SPACE, chr(c)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -39,10 +48,13 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
 
 
+#: The first line that is text, from its first character that is no space.
+_PARAGRAPH = r"(?:^|\n)[\t\x0b-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*+(?!#|!\[|\[|\||```|---)([^\n]+)"
+
+
 def first_paragraph(markdown: Column) -> Column:
-    """The first line that is text: no heading, image, link, table, fence or rule."""
-    text = F.filter(F.transform(lines(markdown), trim), lambda x: (x != "") & ~x.rlike(r"^(?:#|!\[|\[|\||```|---)"))
-    return F.coalesce(F.get(text, F.lit(0)), F.lit(""))
+    """The first line that is text: no heading, image, link, table, fence or rule. The search ends with it."""
+    return trim(F.regexp_extract(markdown, _PARAGRAPH, 1))
 
 
 def truncated(text: str, most: int) -> str:
@@ -58,24 +70,26 @@ def truncated(text: str, most: int) -> str:
 
 
 def truncate_summary(text: Column, most: int) -> Column:
-    """The same as an expression: short and ASCII texts stay with built-in functions, only long ones with other characters go to Python."""
-    cut = F.substring(text, 1, most)
-    space = F.lit(most) - F.locate(" ", F.reverse(cut))  # characters before the last space
-    at = F.when((F.locate(" ", cut) > 0) & (space > most // 2), F.substring(cut, F.lit(1), space)).otherwise(cut)
+    """The same as an expression, all of it inside the JVM."""
+
+    def cut_off(t: Column) -> Column:
+        head = F.substring(t, 1, most)
+        fits = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(most)), lambda n: F.octet_length(F.substring(head, F.lit(1), n)) <= most))
+        cut = F.when(F.octet_length(head) <= most, head).otherwise(F.substring(head, F.lit(1), fits))
+
+        def at_space(c: Column) -> Column:
+            before = F.substring(c, F.lit(1), F.length(c) - F.locate(" ", F.reverse(c)))  # what stands before the last space
+            far = (F.locate(" ", c) > 0) & (F.octet_length(before) > F.floor(F.octet_length(c) / 2))
+            return F.concat(F.when(far, before).otherwise(c), F.lit("\u2026"))
 
-    @F.pandas_udf("string")
-    def other(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else truncated(t, most))
+        return let(cut, at_space)
 
-    short = F.octet_length(text) <= most
-    ascii_only = F.octet_length(text) == F.length(text)
-    return F.when(short, text).when(ascii_only, F.concat(at, F.lit("…"))).otherwise(other(F.when(~short & ~ascii_only, text)))
+    return let(text, lambda t: F.when(F.octet_length(t) <= most, t).otherwise(cut_off(t)))
 
 
 def description(stated: Column, markdown: Column, most: int = 150, least: int = 20) -> Column:
     """A page's own description, or its first paragraph if that is too short, or nothing."""
-    first = first_paragraph(markdown)
-    chosen = F.when(F.octet_length(stated) >= least, stated).when(F.octet_length(first) >= least, first).otherwise(F.lit(""))
+    chosen = let(first_paragraph(markdown), lambda first: F.when(F.octet_length(stated) >= least, stated).when(F.octet_length(first) >= least, first).otherwise(F.lit("")))
     return truncate_summary(chosen, most)
 
 

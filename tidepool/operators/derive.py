@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import truncate_summary
+from tidepool.runtime import discard, materialise
 
 MOST_CONCATENATED = 10_000
 INDEX_HEAD = ["# Crawl index", "", "One line per page: `[url](file)` (depth) — summary.", ""]
@@ -32,10 +33,15 @@ def summary_index(manifest: DataFrame) -> DataFrame:
 
 
 def _numbered(manifest: DataFrame, order: list[str], line: Column) -> DataFrame:
-    """Lines with their places in the whole order: ranges are sorted apart, and each takes the count of those before it as its start."""
+    """Lines with their places in the whole order: ranges are sorted apart, and each takes the count of those before it as its start.
+
+    Lines are written before they are sorted, and sorted ranges before they are counted, so each is worked out once.
+    """
     spark = manifest.sparkSession
-    ranged = manifest.orderBy(*order).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), line.alias("line"))
-    sizes = {r["p"]: r["n"] for r in ranged.groupBy("p").agg(F.count("*").alias("n")).collect()}  # one row per partition
+    plain = materialise(manifest.select(*order, line.alias("line")), "lines")
+    ranged = materialise(plain.orderBy(*order).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "line"), "ranges")
+    discard(plain)
+    sizes = {r["p"]: r["n"] for r in ranged.groupBy("p").agg(F.count("*").alias("n")).collect()}  # one row per range
     total, starts = 0, []
     for p in sorted(sizes):
         starts.append((p, total))

@@ -6,12 +6,12 @@ A page's score needs its own lines only, so it is worked out in place by array e
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, and_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.text import lines, trim
+from tidepool.functions.text import let, lines, trim
 
 MOST_RESULTS, MOST_SNIPPETS, SNIPPET_CHARS = 20, 5, 120
 HEADING, BODY, TITLE = 4, 1, 10
@@ -33,26 +33,31 @@ def _matched(text: Column, terms: list[str]) -> Column:
     return reduce(add, [F.when(text.contains(t), 1).otherwise(0) for t in terms])
 
 
-def _hit(document: Column, low: Column, body: Column, path: Column, low_title: Column, terms: list[str]) -> Column:
+def _hit(low: Column, body: Column, path: Column, low_title: Column, terms: list[str]) -> Column:
     """struct<score, matches> of one query; null if the page doesn't match it."""
-    found = F.filter(F.transform(body, lambda x: F.struct(x["n"].alias("n"), x["t"].alias("t"), _matched(F.lower(x["t"]), terms).alias("m"))), lambda x: x["m"] > 0)
-    score = F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x["m"] * F.when(x["t"].startswith("#"), HEADING).otherwise(BODY)) + TITLE * _matched(low_title, terms)
-    snippets = F.transform(F.slice(found, 1, MOST_SNIPPETS), lambda x: F.concat(path, F.lit(":"), (x["n"] + 1).cast("string"), F.lit(": "), F.substring(x["t"], 1, SNIPPET_CHARS)))
-    every = reduce(and_, [low.contains(t) for t in terms])
-    return F.when(every & (F.size(found) > 0), F.struct(score.alias("score"), snippets.alias("matches")))
+    found = F.filter(F.transform(body, lambda x: F.struct(x["n"].alias("n"), x["t"].alias("t"), _matched(x["l"], terms).alias("m"))), lambda x: x["m"] > 0)
+
+    def use(found: Column) -> Column:
+        score = F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x["m"] * F.when(x["t"].startswith("#"), HEADING).otherwise(BODY)) + TITLE * _matched(low_title, terms)
+        snippets = F.transform(F.slice(found, 1, MOST_SNIPPETS), lambda x: F.concat(path, F.lit(":"), (x["n"] + 1).cast("string"), F.lit(": "), F.substring(x["t"], 1, SNIPPET_CHARS)))
+        return F.when(F.size(found) > 0, F.struct(score.alias("score"), snippets.alias("matches")))
+
+    return F.when(reduce(and_, [low.contains(t) for t in terms]), let(found, use))
 
 
 def score(corpus: DataFrame, queries: list[list[str]]) -> DataFrame:
     """(url, path, title, q array<struct<score, matches>>) of the pages that match a query. corpus: canonical_url, output_path, document."""
     doc = F.col("document")
-    low = corpus.select("canonical_url", "output_path", "document", F.lower("document").alias("low"))
     # cheap whole-text test first: most pages match nothing
-    low = low.where(reduce(lambda a, b: a | b, [reduce(and_, [F.col("low").contains(t) for t in q]) for q in queries]))
+    some = F.exists(F.array(F.lower(doc)), lambda low: reduce(or_, [reduce(and_, [low.contains(t) for t in q]) for q in queries]))
     title = F.coalesce(document_title(doc), F.col("canonical_url"))
-    numbered = F.filter(F.transform(lines(doc), lambda x, i: F.struct(i.alias("n"), trim(x).alias("t"))), lambda x: (x["n"] >= 4) & ~x["t"].startswith("title:"))
-    ready = low.select(F.col("canonical_url").alias("url"), F.col("output_path").alias("path"), title.alias("title"), "document", "low", numbered.alias("body"))
-    hits = F.array(*[_hit(doc, F.col("low"), F.col("body"), F.col("path"), F.lower("title"), q) for q in queries])
-    return ready.select("url", "path", "title", hits.alias("q")).where(F.exists("q", lambda x: x.isNotNull()))
+    ready = corpus.where(some).select(F.col("canonical_url").alias("url"), F.col("output_path").alias("path"), title.alias("title"), "document")
+    numbered = F.transform(lines(doc), lambda x, i: F.struct(i.alias("n"), trim(x).alias("t")))
+    numbered = F.filter(numbered, lambda x: (x["n"] >= 4) & ~x["t"].startswith("title:"))
+    body = F.transform(numbered, lambda x: F.struct(x["n"].alias("n"), x["t"].alias("t"), F.lower(x["t"]).alias("l")))
+    hits = let(F.struct(F.lower(doc).alias("low"), F.lower("title").alias("title"), body.alias("body")), lambda v: F.array(*[_hit(v["low"], v["body"], F.col("path"), v["title"], q) for q in queries]))
+    # as a generator, the scores are worked out once and no filter on them is pushed below
+    return ready.select("url", "path", "title", F.explode(F.filter(F.array(hits), lambda q: F.exists(q, lambda x: x.isNotNull()))).alias("q"))
 
 
 def _combined(scored: DataFrame) -> DataFrame:
