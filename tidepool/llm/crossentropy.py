@@ -32,7 +32,7 @@ class Settings:
 
     prior_pair: float = 20.0
     prior_token: float = 0.5
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
 
 
 _CONTEXT = np.int64(0xFFFFFFFF)
