@@ -37,7 +37,7 @@ _N = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = r"\t-\r\x20\xa0"
 _odd = re.compile(r"[^\t-\r\x20-\x7e\xa0-\u017f\u2010-\u2027\u2030-\u205e]")
 _word = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-REMEMBER = 400_000
+REMEMBER = 100_000
 #: Pieces of one length that a task numbers together, about.
 GROUP_ROWS = 2_000
 
