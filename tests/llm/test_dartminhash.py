@@ -7,7 +7,7 @@ import numpy as np
 
 from tests.llm import edge
 from tidepool.llm.components import components
-from tidepool.llm.dartminhash import near_duplicates, signatures
+from tidepool.llm.dartminhash import Settings, block_links, near_duplicates, sign, signatures
 
 
 def brute(rows: list[tuple[int, str | None]]) -> dict[int, int]:
@@ -76,6 +76,43 @@ def test_classes_equal_all_pairs(spark):
     assert got == brute(rows)
 
 
+def test_pairs_of_crowded_buckets_are_compared(spark):
+    rng = random.Random(8)
+    shared, rows = edge.prose(300, 150).split(), []
+    for g in range(16):
+        base = shared + edge.prose(301 + g, 50).split()
+        for _ in range(40 if g == 0 else 2):
+            words = list(base)
+            words[rng.randrange(len(words))] = rng.choice(edge.WORDS)
+            rows.append((len(rows) + 1, " ".join(words)))
+    df, settings = edge.documents(spark, rows, extra=False), Settings(bands=2, rows=1)
+    keys = {r["doc_id"]: set(r["keys"]) for r in sign(df, settings, "doc_id", "text").collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df, settings=settings).collect()}
+    want = brute(rows)
+    assert all(want[got[i]] == want[i] for i in got)
+    pairs = [(i, i + 1) for i in range(41, len(rows), 2) if keys[i] & keys[i + 1] and want[i] == want[i + 1]]
+    assert len(pairs) > 10 and all(got[i] == got[j] for i, j in pairs)
+
+
+def test_blocks_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**62, 60) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.choice(b, rng.integers(45, 61), replace=False), rng.integers(0, 2**62, rng.integers(0, 9))])) for b in base for _ in range(25)]
+    offsets, grams, node = np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.concatenate(sets), np.arange(100)
+    same = [(a, b) for a in range(100) for b in range(a) if (n := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    for right in (np.zeros(100, bool), rng.random(100) < 0.5):
+        both = right.any()
+
+        def classes(links):
+            parent = list(range(100))
+            for a, b in links * 100:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+            return parent
+
+        found = block_links(node, node, right, offsets, grams, 0.8)
+        assert classes(found) == classes([(a, b) for a, b in same if not both or right[a] != right[b]]) and found
+
+
 def test_edge_rows(spark):
     rows = near_duplicates(edge.documents(spark)).collect()
     assert len(rows) == len(edge.TEXTS)

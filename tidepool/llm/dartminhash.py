@@ -9,7 +9,9 @@ is: the rank up to which it looks falls as its weight grows, and is doubled for
 Signatures are cut in bands; documents with an equal band share a bucket. A bucket never makes all its pairs: its centre, the member that
 shares most with others, is compared with the other members, and pairs that hold (exact Jaccard similarity of the sets of shingles) join
 components. Where members of a bucket are still in different components, its next two centres are compared with those outside their own
-components, then its next four, and so on until such centres link nothing more. Buckets of a few members are compared pair by pair.
+components, then its next four, and so on until such centres link nothing more. Buckets of a few members are compared pair by pair. What
+the centres leave apart is compared too: buckets that overlap form a crowd, whose members are dealt in blocks, and in every two blocks all
+pairs of different components are compared, but for those whose sizes or rarest shingles show that they can't be alike.
 
 Cases: copies of one word sequence are one node from the start, so they cost one row each; null and wordless texts are classes of their
 own; texts of one to four words only match their copies; rows with the same id are one document, rows without one get a null class; texts of any length are read whole; an
@@ -232,6 +234,112 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return same.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("a", "b")
 
 
+#: Shingles of a block; of texts longer than that, each is a block.
+BLOCK = 200_000
+
+
+def blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """(crowd, block, node, label, grams) of apart (key, node, label): crowds of overlapping buckets, in blocks of about BLOCK shingles by size.
+
+    Labels that fill a block have blocks of their own, which needn't be compared with each other.
+    """
+    firsts = materialise(apart.groupBy("key").agg(F.min("node").alias("first")), "firsts")
+    edges = materialise(apart.join(firsts.hint("merge"), "key").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "edges")
+    crowds = components(edges)
+    members = apart.select("node", "label").distinct().join(crowds.select(F.col("v").alias("node"), F.col("label").alias("crowd")), "node")
+    members = materialise(members.join(sets.select(F.col("id").alias("node"), F.size("grams").cast("long").alias("size")), "node"), "crowds")
+    discard(firsts, edges, crowds)
+    large = members.groupBy("crowd", "label").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK).select("crowd", "label", F.col("label").alias("own"))
+    placed = members.join(large, ["crowd", "label"], "left")
+    before = F.sum("size").over(Window.partitionBy("crowd", "own").orderBy("size", "node").rowsBetween(Window.unboundedPreceding, -1))
+    out = placed.withColumn("block", F.concat_ws(":", F.col("crowd").cast("string"), F.coalesce(F.col("own").cast("string"), F.lit("")), F.floor(F.coalesce(before, F.lit(0)) / BLOCK).cast("string")))
+    out = materialise(out.select("crowd", "block", "node", "label", "size"), "blocks")
+    discard(members)
+    return out
+
+
+def block_links(node: np.ndarray, label: np.ndarray, right: np.ndarray, offsets: np.ndarray, grams: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the labels of documents: between those left and right, or among the left ones if none is right.
+
+    Sets with this similarity share at least that share of the larger one, so one of the rarest shingles of both is common to both.
+    """
+    size = np.diff(offsets)
+    order = np.lexsort((node, size, right))
+    label, right, node = label[order], right[order], node[order]
+    _, token, df = np.unique(grams, return_inverse=True, return_counts=True)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    doc = np.repeat(rank, size)
+    size = size[order]
+    by = np.lexsort((token, df[token], doc))
+    token, doc = token[by], doc[by]
+    start = np.concatenate([[0], np.cumsum(size)])
+    rare = np.arange(len(token)) - start[doc] < (size - np.ceil(similarity * size - 1e-9) + 1)[doc]
+    rare &= df[token] > 1
+    rare_token, rare_doc = token[rare], doc[rare]
+    rare_start = np.searchsorted(rare_doc, np.arange(len(order) + 1))
+    n_left = int((~right).sum())
+    _, root = np.unique(label, return_inverse=True)
+    mark = np.zeros(len(df), bool)
+    out = []
+    for a in range(n_left):
+        base = n_left if n_left < len(order) else 0
+        lo = max(base + int(np.searchsorted(size[base:], similarity * size[a] - 1e-6)), a + 1)
+        hi = base + int(np.searchsorted(size[base:], size[a] / similarity + 1e-6, side="right"))
+        mine = rare_token[rare_start[a] : rare_start[a + 1]]
+        if lo >= hi or not len(mine):
+            continue
+        mark[mine] = True
+        met = np.zeros(hi - lo, bool)
+        met[rare_doc[rare_start[lo] : rare_start[hi]][mark[rare_token[rare_start[lo] : rare_start[hi]]]] - lo] = True
+        mark[mine] = False
+        near = lo + np.flatnonzero(met & (root[lo:hi] != root[a]))
+        if not len(near):
+            continue
+        mine = token[start[a] : start[a + 1]]
+        mark[mine] = True
+        if 4 * len(near) > near[-1] - near[0]:
+            span = mark[token[start[near[0]] : start[near[-1] + 1]]]
+            n = np.add.reduceat(span, start[near[0] : near[-1] + 1] - start[near[0]], dtype=np.int64)[near - near[0]]
+        else:
+            n = np.array([np.count_nonzero(mark[token[start[b] : start[b + 1]]]) for b in near])
+        mark[mine] = False
+        for b in near[n >= similarity * (size[a] + size[near] - n)].tolist():
+            if root[a] != root[b]:
+                root[root == root[b]] = root[a]
+                out.append((int(node[a]), int(node[b])))
+    return out
+
+
+def _crowd_links(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the different labels of each crowd: all its pairs of different labels are compared."""
+    placed = blocks(apart, sets)
+    each = placed.groupBy("crowd", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    each = materialise(each, "each")
+    x, y = (each.select("crowd", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most", "lo", "hi"))) for s in "xy")
+    near = (F.col("least_x") * similarity <= F.col("most_y") + 1e-6) & (F.col("least_y") * similarity <= F.col("most_x") + 1e-6)
+    apart_ = F.least("lo_x", "lo_y") != F.greatest("hi_x", "hi_y")
+    pairs = x.join(y, "crowd").where((F.col("block_x") <= F.col("block_y")) & near & apart_).select("block_x", "block_y")
+    pairs = materialise(pairs.withColumn("pair", F.concat_ws("|", "block_x", "block_y")), "blockpairs")
+    sides = pairs.select(F.col("block_x").alias("block"), "pair", F.lit(False).alias("right"))
+    sides = sides.unionByName(pairs.where("block_x != block_y").select(F.col("block_y").alias("block"), "pair", F.lit(True).alias("right")))
+    filled = materialise(placed.join(sets.select(F.col("id").alias("node"), "grams"), "node").select("block", "node", "label", "grams"), "filled")
+    n = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = filled.join(sides, "block").repartition(n, "pair")
+
+    def compare(part: pa.Table) -> pa.Table:
+        lists = part.column("grams").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        column = lambda c: part.column(c).to_numpy()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        found = block_links(column("node"), column("label"), column("right").astype(bool), offsets - offsets[0], lists.flatten().to_numpy(), similarity)
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
+
+    found = materialise(dealt.groupBy("pair").applyInArrow(compare, "a bigint, b bigint"), "links")
+    discard(placed, each, pairs, filled)
+    return found
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of df: id, class_id (the smallest id of its class), copy_of (the smallest id with the same words)."""
     kind = df.schema[id_col].dataType
@@ -255,6 +363,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     wanted = members.select(F.col("node").alias("id")).distinct()
     sets = materialise(shingle_sets(docs.join(wanted.hint("merge"), "id", "left_semi"), settings, "id", "text"), "shingles")
     links: list[DataFrame] = []
+    given_up: list[DataFrame] = []
     labels: DataFrame | None = None
     centres = 1
     while not (buckets := _buckets(members, max(centres, settings.small))).isEmpty():
@@ -267,12 +376,22 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         if centres > 1:
             # a bucket goes on as long as its centres find links
             linked = materialise(pairs.join(links[-1], ["a", "b"]).select("key").distinct(), "linked")
+            given_up.append(materialise(rest.join(linked, "key", "left_anti").select("key", "node"), "apart"))
             rest = rest.join(linked, "key", "left_semi")
         known = labels.select(F.col("v").alias("node"), "label")
         after = materialise(rest.join(known, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "weight"), "members")
         discard(members, buckets, pairs, linked)
         members = after
         centres *= 2
+    if given_up:
+        apart = reduce(DataFrame.unionByName, given_up).join(labels.select(F.col("v").alias("node"), "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        mixed = materialise(apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key"), "mixed")
+        apart = materialise(apart.join(mixed.hint("merge"), "key"), "apart")
+        if not apart.isEmpty():
+            links.append(_crowd_links(apart, sets, settings.similarity))
+            discard(labels)
+            labels = components(reduce(DataFrame.unionByName, links))
+        discard(mixed, apart, *given_up)
     discard(members, buckets, sets, *links)
     classed = copies.select("id", "node")
     if labels is not None:
