@@ -40,6 +40,26 @@ def test_templates_are_found_in_prose_with_small_changes():
     assert scanner.scan([edge.prose(9, 5000).encode(), b"", b"license license the the under"]) == [[], [], []]
 
 
+def test_exact_texts_are_covered_whole_behind_stray_words():
+    scanner = Scanner(TEMPLATES, Settings())
+    for t, name in enumerate(scanner.names):
+        words = TEMPLATES[name].split()
+        n = len(scanner.words[t])
+        for stray in (words[0], "a", "the", "of", "this"):
+            for gap in range(0, n // 2, 1 + n // 12):
+                text = f"{edge.prose(3, 30)} {stray} {edge.prose(4, gap)} {TEMPLATES[name]} {edge.prose(5, 30)}"
+                own = [h for h in scanner.scan([text.encode()])[0] if h[0] == t]
+                assert own == [(t, 31 + gap, 31 + gap + len(words), n)], (name, stray, gap)
+
+
+def test_edited_copy_before_an_exact_one_is_kept():
+    scanner = Scanner(TEMPLATES, Settings())
+    name = "cc-by-sa-4.0"
+    words = TEMPLATES[name].split()
+    text = f"a {edge.prose(6, 7)} {' '.join(words[:4] + words[5:])} {' '.join(words)}"
+    assert [h[1:] for h in scanner.scan([text.encode()])[0] if scanner.names[h[0]] == name] == [(8, 19, 11), (19, 31, 12)]
+
+
 def test_every_hit_counts():
     scanner = Scanner(TEMPLATES, Settings())
     text = " ".join(f"{edge.prose(i, 20)} Released under the MIT License." for i in range(40))

@@ -2,7 +2,8 @@
 
 A text is searched for windows that hold enough different words of a template. Each is aligned with the template: words that occur once in
 both are anchors, the longest run of them that rises in both is kept, and the gaps between anchors are aligned the same way; a gap
-without anchors is aligned by its longest common subsequence. Coverage is the share of the template's words that found a partner.
+without anchors is aligned by its longest common subsequence. Coverage is the share of the template's words that found a partner. Of windows
+that overlap, the one with the most partners is the hit, and what lies before and behind it is searched on.
 
 Cases: null and empty texts have no hits; texts of any length are searched whole, and all hits are kept; repeated rows get equal hits; of
 hits of different templates with equal coverage, the longer template, then the name that sorts first, is the best; an empty table gives an
@@ -161,6 +162,27 @@ class Scanner:
                     known[w] = self.number.get(normal(w), 0)
             return [known[w] for w in words]
 
+    def best(self, t: int, ids: np.ndarray, begins: list[int], low: int, high: int, width: int, need: int) -> tuple[tuple[int, int, int, int] | None, bool]:
+        """Of the first windows in a part of a text that hold a hit and overlap, the hit with the most partners, then the fewest words; and whether
+        another one began before it."""
+        template, hit, first = self.words[t], None, high
+        for begin in begins[bisect_left(begins, low) :]:
+            if begin >= (hit[2] if hit else high):
+                break
+            window = ids[begin : min(begin + width, high)].tolist()
+            if len({w for w in window if self.member[t, w]}) < min(need, len(set(template))) - (len(template) - len(set(template))):
+                continue
+            pairs = align(template, window)
+            if len(pairs) < need:
+                continue
+            new = (t, begin + pairs[0][1], begin + pairs[-1][1] + 1, len(pairs))
+            first = min(first, new[1])
+            if not hit or (new[3], new[1] - new[2]) > (hit[3], hit[1] - hit[2]):
+                hit = new
+            if hit[2] - hit[1] == len(template) == hit[3]:
+                break
+        return hit, hit is not None and first < hit[1]
+
     def hits(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(template, first word, word after the last, words matched) of every hit in a text."""
         out = []
@@ -172,18 +194,17 @@ class Scanner:
                 continue
             # a window that holds a hit begins at a word of the template and holds at least `need` of its words
             last = np.searchsorted(inside, inside + width)
-            at = 0
-            for k in np.flatnonzero(last - np.arange(len(inside)) >= need).tolist():
-                begin = int(inside[k])
-                if begin < at:
-                    continue
-                window = ids[begin : begin + width].tolist()
-                if len({w for w in window if self.member[t, w]}) < min(need, len(set(template))) - (len(template) - len(set(template))):
-                    continue
-                pairs = align(template, window)
-                if len(pairs) >= need:
-                    out.append((t, begin + pairs[0][1], begin + pairs[-1][1] + 1, len(pairs)))
-                    at = out[-1][2]
+            begins = inside[last - np.arange(len(inside)) >= need].tolist()
+            found, todo = [], [(0, len(ids))]
+            while todo:
+                low, high = todo.pop()
+                hit, more = self.best(t, ids, begins, low, high, width, need)
+                if hit:
+                    found.append(hit)
+                    todo.append((hit[2], high))
+                    if more:
+                        todo.append((low, hit[1]))
+            out += sorted(found)
         return out
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
