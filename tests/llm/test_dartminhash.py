@@ -76,6 +76,15 @@ def test_classes_equal_all_pairs(spark):
     assert got == brute(rows)
 
 
+def test_texts_and_their_repeated_selves_are_one_class(spark):
+    rows = []
+    for g in range(8):
+        for times in (1, 2, 4, 16):
+            rows.append((len(rows) + 1, " ".join([edge.prose(400 + g, 300)] * times)))
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(edge.documents(spark, rows, extra=False)).collect()}
+    assert got == brute(rows) and len(set(got.values())) == 8
+
+
 def test_pairs_of_crowded_buckets_are_compared(spark):
     rng = random.Random(8)
     shared, rows = edge.prose(300, 150).split(), []

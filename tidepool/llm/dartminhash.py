@@ -1,7 +1,7 @@
 """Operator 2: near-duplicates by DartMinHash signatures and banded joins.
 
-A document is the weighted set of its five-word shingles; a shingle's weight is 1 + log2(its count). For every shingle and every slab of
-the weight axis, hashed darts arrive one after another along a rank axis, each with a height in the slab and a coordinate of the
+A document is the set of its five-word shingles, each of weight 1 however often it occurs, as similarity is that of the plain sets (the
+signatures take any weights). For every shingle and every slab of the weight axis, hashed darts arrive one after another along a rank axis, each with a height in the slab and a coordinate of the
 signature; those under the shingle's weight hit, and every coordinate keeps its earliest hit. All documents that hold a shingle see the same
 darts, so two signatures agree in a coordinate as often as their weighted sets do. A document needs about k ln k + 2k darts however long it
 is: the rank up to which it looks falls as its weight grows, and is doubled for documents that still lack a coordinate.
@@ -168,8 +168,8 @@ def sign(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataF
 
         def work(texts: pa.Array, _rows: pa.RecordBatch) -> list[pa.Array]:
             whole = as_bytes(texts)
-            doc, element, count, n, _ = shingles(whole, settings.words, known)
-            values = signatures(doc, element, 1 + np.log2(count), len(whole), settings.bands * settings.rows)
+            doc, element, _, n, _ = shingles(whole, settings.words, known)
+            values = signatures(doc, element, np.ones(len(doc)), len(whole), settings.bands * settings.rows)
             full = n >= settings.words
             keys = band_keys(values[full], settings.bands, settings.rows)
             digest = [xxhash.xxh3_128_digest(b" ".join(t.split())) if x else None for t, x in zip(whole, n)]
