@@ -6,14 +6,16 @@ SQL derives it again by its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import addresses, text, urls
 from tidepool.operators import bfs, corpus, derive, extract, frontier, robots, search, sitemap
-from tidepool.runtime import ensure_workers, table
+from tidepool.runtime import ensure_workers, materialise, table
 from tidepool.sources import stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -581,18 +583,38 @@ def extract_page(spark, sf_dir):
     return found.select("page_id", "title", "description", F.size("links").alias("n_links"), F.sha2(F.col("markdown").cast("binary"), 256).alias("digest"), "extract_error")
 
 
+#: Links of an entry page of the web that crawl_pages walks, about; the crawl takes 10,000 of a page at most.
+ENTRY_LINKS = 500
+
+
+def entry_tree(pages, n: int, fanout: int):
+    """Entry pages (url, html) over n pages (url) as a tree whose root is https://web.example/, and how many links lead from there to a page."""
+    groups, level, levels = max(1, math.ceil(n / fanout)), 1, []
+    nodes = pages.select("url", F.pmod(F.xxhash64("url"), F.lit(groups)).alias("group"))
+    while True:
+        links = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="'), "url", F.lit('">p</a>')))), " ")
+        html = F.concat(F.lit("<main>"), links, F.lit("</main>")).alias("html")
+        if groups == 1:
+            levels.append(nodes.agg(html).select(F.lit("https://web.example/").alias("url"), "html"))
+            return reduce(DataFrame.unionByName, levels), level
+        entries = nodes.groupBy("group").agg(html).withColumn("url", F.concat(F.lit(f"https://web.example/e/{level}/"), F.col("group").cast("string")))
+        entries = materialise(entries, "entries")
+        levels.append(entries.select("url", "html"))
+        nodes = entries.select("url", F.floor(F.col("group") / fanout).alias("group"))
+        groups, level = math.ceil(groups / fanout), level + 1
+
+
 @query()
 def crawl_pages(spark, sf_dir):
-    """A crawl of a small web over the pages of the busiest host: an entry page links to all of them."""
+    """A crawl of a web over all pages: a tree of entry pages leads to each of them."""
     from tidepool.config import Config
     from tidepool.operators.crawl import crawl
 
-    pages = table(spark, sf_dir, "pages")
-    host = pages.groupBy(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").head()["host"]
-    own = pages.where(F.regexp_extract("url", "^https?://([^/?#]+)", 1) == host).select(F.concat(F.lit("https://web.example/p/"), "page_id").alias("url"), "html")
-    hrefs = own.select(F.concat(F.lit('<a href="'), "url", F.lit('">p</a>')).alias("a"))
-    entry = hrefs.agg(F.concat(F.lit("<main>"), F.array_join(F.array_sort(F.collect_list("a")), " "), F.lit("</main>")).alias("html")).select(F.lit("https://web.example/").alias("url"), "html")
-    store = stores.from_pages(own.unionByName(entry))
+    own = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://web.example/p/"), "page_id").alias("url"), "html")
+    n = own.count()
+    entries, depth = entry_tree(own, n, ENTRY_LINKS)
+    store = stores.from_pages(own.unionByName(entries))
     robots_file = spark.createDataFrame([("https://web.example/robots.txt", 404, None, "", None, None)], stores.STORE)
-    done = crawl(spark, store.unionByName(robots_file), "https://web.example/", Config(max_pages=10_000_000), now=1)
+    config = Config(max_pages=max(10_000_000, 4 * n), max_depth=depth + 2)
+    done = crawl(spark, store.unionByName(robots_file), "https://web.example/", config, now=1)
     return done.frontier.select("canonical_url", "depth", "state", "parent_url", "discovery_source")
