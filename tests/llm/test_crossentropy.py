@@ -17,7 +17,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def brute(rows, targets, settings=Settings()):
     t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     end = t.get_vocab_size()
     v = end + 1
     docs = [(i, t.encode(x or "", add_special_tokens=False).ids + [end]) for i, x in rows]

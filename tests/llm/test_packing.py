@@ -20,7 +20,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t
 
 

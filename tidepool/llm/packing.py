@@ -46,17 +46,19 @@ class Tokens:
     """Ids of whole texts as little-endian bytes, by a byte-level BPE file of the tokenizers library.
 
     Texts of common characters are split into words as the file's pattern splits them, and each distinct word is encoded once, by a merge
-    table with the file's own vocabulary where ids rise in the order of its merges (so that the lowest id is the first merge).
+    table with the file's own vocabulary where ids rise in the order of its merges (so that the lowest id is the first merge). A text that
+    holds the literal of an added token, which the library takes for that token, goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            self.table = self._merge_table(json.load(f))
+            spec = json.load(f)
+        self.table = self._merge_table(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens", ())]
 
     @staticmethod
     def _merge_table(spec: dict):
@@ -76,7 +78,7 @@ class Tokens:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if self.table is None or _odd.search(text):
+        if self.table is None or _odd.search(text) or any(a in text for a in self.added):
             return self._ids(text)
         known, out = self.known, []
         if len(known) > REMEMBER:
