@@ -28,6 +28,8 @@ def extract_pages(pages: DataFrame, *, key: str = "url", base: str = "url", html
                     out.append((k, p.title, p.description, p.markdown, p.links, None))
                 except page.ExtractError as e:
                     out.append((k, None, None, None, None, e.kind))
+                except Exception as e:  # noqa: BLE001 - one page must not end the job
+                    out.append((k, None, None, None, None, f"internal: {type(e).__name__}"))
             yield pd.DataFrame(out, columns=["k", "title", "description", "markdown", "links", "extract_error"])
 
     chosen = pages.select(F.col(key).alias("k"), F.col(base).alias("b"), F.col(html).alias("h"))
