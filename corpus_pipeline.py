@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 last return the columns of documents.
 
 Cases: a document is judged by its own row, so repeated rows fare alike until near-duplicates, where one row of each class stays; null and
-empty texts go in the first stage; rows without an id are not compared and stay; empty tables pass through; columns beyond those of
+empty texts go in the first stage; rows without an id are compared like others, and of a class that has an id they go; empty tables pass through; columns beyond those of
 documents stay as they are in all stages but the last.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.dartminhash import near_duplicates
+from tidepool.llm.dartminhash import distinct_documents
 from tidepool.llm.languages import fit, held_out, identify
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.queries import tokenizer_file
@@ -42,10 +42,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near-duplicates."""
-    first = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Keeps the row with the smallest id of each class of near-duplicates."""
+    return distinct_documents(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,34 +1,33 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
 from tests.llm import edge
+from tidepool.llm import dartminhash
 from tidepool.llm.components import components
-from tidepool.llm.dartminhash import Settings, block_links, near_duplicates, sign, signatures
+from tidepool.llm.dartminhash import Settings, block_links, distinct_documents, near_duplicates, sign, signatures
 
 
-def brute(rows: list[tuple[int, str | None]]) -> dict[int, int]:
-    """Classes by all pairs: equal word sequences, or sets of five words with a Jaccard similarity of 0.8."""
-    docs = [(i, (t or "").encode().split()) for i, t in rows if i is not None]
-    parent = {i: i for i, _ in docs}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, w in docs]
-    for x in range(len(docs)):
+def by_row(rows: list[tuple]) -> list:
+    """Class of each row by all pairs, named by its smallest id: equal word sequences, or sets of five words with a Jaccard similarity of 0.8."""
+    words = [(t or "").encode().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in words]
+    root = list(range(len(rows)))
+    for x in range(len(rows)):
         for y in range(x):
-            same = docs[x][1] == docs[y][1] and docs[x][1]
             n = len(sets[x] & sets[y])
-            if same or (sets[x] and sets[y] and n >= 0.8 * (len(sets[x]) + len(sets[y]) - n)):
-                a, b = find(docs[x][0]), find(docs[y][0])
-                parent[max(a, b)] = min(a, b)
-    return {i: find(i) for i, _ in docs}
+            if (words[x] and words[x] == words[y]) or (sets[x] and n >= 0.8 * (len(sets[x]) + len(sets[y]) - n)):
+                old, new = root[x], root[y]
+                root = [new if r == old else r for r in root]
+    names = {r: min((i for (i, _), q in zip(rows, root) if q == r and i is not None), default=None) for r in root}
+    return [names[r] for r in root]
+
+
+def brute(rows: list[tuple[int, str | None]]) -> dict[int, int]:
+    return {i: c for (i, _), c in zip(rows, by_row(rows))}
 
 
 def test_signatures_agree_as_often_as_weighted_sets_do():
@@ -95,7 +94,7 @@ def test_pairs_of_crowded_buckets_are_compared(spark):
             words[rng.randrange(len(words))] = rng.choice(edge.WORDS)
             rows.append((len(rows) + 1, " ".join(words)))
     df, settings = edge.documents(spark, rows, extra=False), Settings(bands=2, rows=1)
-    keys = {r["doc_id"]: set(r["keys"]) for r in sign(df, settings, "doc_id", "text").collect()}
+    keys = {r["doc_id"]: set(r["keys"]) for r in sign(df, settings, ["doc_id"], "text").collect()}
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df, settings=settings).collect()}
     want = brute(rows)
     assert all(want[got[i]] == want[i] for i in got)
@@ -124,11 +123,46 @@ def test_blocks_equal_all_pairs():
 
 def test_edge_rows(spark):
     rows = near_duplicates(edge.documents(spark)).collect()
-    assert len(rows) == len(edge.TEXTS)
-    want = brute(edge.TEXTS)
-    assert {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] is not None} == want
-    assert [r["class_id"] for r in rows if r["doc_id"] is None] == [None, None]
-    assert near_duplicates(edge.empty(spark)).count() == 0
+    assert Counter((r["doc_id"], r["class_id"]) for r in rows) == Counter(zip((i for i, _ in edge.TEXTS), by_row(edge.TEXTS)))
+    assert near_duplicates(edge.empty(spark)).count() == 0 and distinct_documents(edge.empty(spark)).count() == 0
+
+
+def test_ids_of_any_type_that_repeat_or_are_null(spark):
+    """Rows are judged each by its own text; ids are strings here, one of them has two texts, some rows have none."""
+    rows = [(f"d{i % 30}" if i % 9 else None, t) for i, t in corpus()] + [("x", edge.prose(900, 60)), ("x", edge.prose(901, 60)), ("a", edge.prose(901, 60) + " end"), ("x", edge.prose(901, 60))]
+    df = spark.createDataFrame(rows, "name string, text string")
+    want = Counter(zip((i for i, _ in rows), by_row(rows)))
+    assert Counter((r["name"], r["class_id"]) for r in near_duplicates(df, id_col="name").collect()) == want
+    kept = distinct_documents(df, id_col="name")
+    assert kept.columns == ["name", "text"]
+    named = Counter(r["name"] for r in kept.collect())
+    classes = {(c, frozenset(i for (i, _), d in zip(rows, by_row(rows)) if d == c)) for c in by_row(rows) if c is not None}
+    assert {n for n in named if n} == {c for c, _ in classes} and named["x"] == 1
+
+
+def test_a_crowd_in_many_small_blocks(spark, monkeypatch):
+    """Blocks of 300 shingles, so that pairs lie across blocks, rungs and labels."""
+    rng = random.Random(12)
+    base, made = edge.prose(500, 130).split(), []
+    for k in range(70):
+        words = base[: 60 + 10 * rng.randrange(8)]
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = rng.choice(edge.WORDS)
+        made.append((k, " ".join(words)))
+    sets = {k: {hash(tuple(t.split()[i : i + 5])) for i in range(len(t.split()) - 4)} for k, t in made}
+    monkeypatch.setattr(dartminhash, "BLOCK", 300)
+    apart = spark.createDataFrame([(1 + k % 2, k, k) for k in sets] + [(2, k, k) for k in sets if k % 7 == 0], "key bigint, node bigint, label bigint")
+    grams = spark.createDataFrame([(k, sorted(g)) for k, g in sets.items()], "id bigint, grams array<bigint>")
+    links = [(r["a"], r["b"]) for r in dartminhash._crowd_links(apart, grams, 0.8).collect()]
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = []
+    for pairs in (links, alike):
+        root = list(sets)
+        for _ in sets:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        roots.append(root)
+    assert set(links) <= set(alike) and roots[0] == roots[1]
 
 
 def test_components(spark):

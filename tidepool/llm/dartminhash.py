@@ -6,6 +6,9 @@ signature; those under the shingle's weight hit, and every coordinate keeps its
 darts, so two signatures agree in a coordinate as often as their weighted sets do. A document needs about k ln k + 2k darts however long it
 is: the rank up to which it looks falls as its weight grows, and is doubled for documents that still lack a coordinate.
 
+Rows are numbered as they are written to the shared folder; the nodes of all that follows are these numbers, so ids may be of any type that
+can be ordered, be null or occur more than once.
+
 Signatures are cut in bands; documents with an equal band share a bucket. A bucket never makes all its pairs: its centre, the member that
 shares most with others, is compared with the other members, and pairs that hold (exact Jaccard similarity of the sets of shingles) join
 components. Where members of a bucket are still in different components, its next two centres are compared with those outside their own
@@ -14,8 +17,9 @@ the centres leave apart is compared too: buckets that overlap form a crowd, whos
 pairs of different components are compared, but for those whose sizes or rarest shingles show that they can't be alike.
 
 Cases: copies of one word sequence are one node from the start, so they cost one row each; null and wordless texts are classes of their
-own; texts of one to four words only match their copies; rows with the same id are one document, rows without one get a null class; texts of any length are read whole; an
-empty table gives an empty one; other columns of the input are ignored.
+own; texts of one to four words only match their copies; every row is judged by its own text, so rows with one id and different texts can be
+of different classes; rows without an id take part, and a class is named by its smallest id that isn't null (null if it has none); texts of
+any length are read whole; an empty table gives an empty one; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -160,8 +164,8 @@ SIGNED = [
 ]
 
 
-def sign(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """One row per row: id, words_hash (of the word sequence; null without words), keys (one per band; none below a shingle)."""
+def sign(df: DataFrame, settings: Settings, keep: list[str], text_col: str) -> DataFrame:
+    """One row per row: `keep`, words_hash (of the word sequence; null without words), keys (one per band; none below a shingle)."""
 
     def make():
         known = Words()
@@ -177,7 +181,7 @@ def sign(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataF
 
         return work
 
-    return map_texts(df, text_col, [id_col], SIGNED, make, limit=1 << 20)
+    return map_texts(df, text_col, keep, SIGNED, make, limit=1 << 20)
 
 
 def shingle_sets(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -238,22 +242,25 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 BLOCK = 200_000
 
 
-def blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """(crowd, block, node, label, grams) of apart (key, node, label): crowds of overlapping buckets, in blocks of about BLOCK shingles by size.
+def blocks(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(crowd, rung, block, node, label, size) of apart (key, node, label): crowds of overlapping buckets, in blocks of about BLOCK shingles.
 
-    Labels that fill a block have blocks of their own, which needn't be compared with each other.
+    Sizes that can be alike are on one rung or on two next to each other, and the members of a rung are dealt to its blocks by a hash. Labels that
+    fill a block have blocks of their own, which needn't be compared with each other.
     """
     firsts = materialise(apart.groupBy("key").agg(F.min("node").alias("first")), "firsts")
     edges = materialise(apart.join(firsts.hint("merge"), "key").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "edges")
     crowds = components(edges)
     members = apart.select("node", "label").distinct().join(crowds.select(F.col("v").alias("node"), F.col("label").alias("crowd")), "node")
-    members = materialise(members.join(sets.select(F.col("id").alias("node"), F.size("grams").cast("long").alias("size")), "node"), "crowds")
+    rung = F.floor(F.log(F.greatest("size", F.lit(1))) / -np.log(similarity - 1e-6)).cast("int") if similarity < 1 else F.col("size").cast("int")
+    members = members.join(sets.select(F.col("id").alias("node"), F.size("grams").cast("long").alias("size")), "node").withColumn("rung", rung)
+    members = materialise(members, "crowds")
     discard(firsts, edges, crowds)
-    large = members.groupBy("crowd", "label").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK).select("crowd", "label", F.col("label").alias("own"))
-    placed = members.join(large, ["crowd", "label"], "left")
-    before = F.sum("size").over(Window.partitionBy("crowd", "own").orderBy("size", "node").rowsBetween(Window.unboundedPreceding, -1))
-    out = placed.withColumn("block", F.concat_ws(":", F.col("crowd").cast("string"), F.coalesce(F.col("own").cast("string"), F.lit("")), F.floor(F.coalesce(before, F.lit(0)) / BLOCK).cast("string")))
-    out = materialise(out.select("crowd", "block", "node", "label", "size"), "blocks")
+    large = members.groupBy("crowd", "rung", "label").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK).select("crowd", "rung", "label", F.col("label").alias("own"))
+    placed = members.join(large, ["crowd", "rung", "label"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    totals = placed.groupBy("crowd", "rung", "own").agg(F.ceil(F.sum("size") / BLOCK).alias("many"))
+    dealt = placed.join(totals, ["crowd", "rung", "own"]).withColumn("part", F.pmod(F.xxhash64("node"), "many"))
+    out = materialise(dealt.select("crowd", "rung", F.concat_ws(":", "crowd", "rung", "own", "part").alias("block"), "node", "label", "size"), "blocks")
     discard(members)
     return out
 
@@ -313,13 +320,16 @@ def block_links(node: np.ndarray, label: np.ndarray, right: np.ndarray, offsets:
 
 def _crowd_links(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join the different labels of each crowd: all its pairs of different labels are compared."""
-    placed = blocks(apart, sets)
-    each = placed.groupBy("crowd", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    placed = blocks(apart, sets, similarity)
+    each = placed.groupBy("crowd", "rung", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     each = materialise(each, "each")
-    x, y = (each.select("crowd", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most", "lo", "hi"))) for s in "xy")
+    x, y = (each.select("crowd", "rung", *(F.col(c).alias(f"{c}_{s}") for c in ("rung", "block", "least", "most", "lo", "hi"))) for s in "xy")
+    # of two blocks the one on the lower rung, or of one rung the one that sorts first, stands left
+    x = x.withColumn("rung", F.explode(F.array("rung", F.col("rung") + 1)))
+    first = (F.col("rung_x") < F.col("rung_y")) | ((F.col("rung_x") == F.col("rung_y")) & (F.col("block_x") <= F.col("block_y")))
     near = (F.col("least_x") * similarity <= F.col("most_y") + 1e-6) & (F.col("least_y") * similarity <= F.col("most_x") + 1e-6)
     apart_ = F.least("lo_x", "lo_y") != F.greatest("hi_x", "hi_y")
-    pairs = x.join(y, "crowd").where((F.col("block_x") <= F.col("block_y")) & near & apart_).select("block_x", "block_y")
+    pairs = x.join(y, ["crowd", "rung"]).where(first & near & apart_).select("block_x", "block_y")
     pairs = materialise(pairs.withColumn("pair", F.concat_ws("|", "block_x", "block_y")), "blockpairs")
     sides = pairs.select(F.col("block_x").alias("block"), "pair", F.lit(False).alias("right"))
     sides = sides.unionByName(pairs.where("block_x != block_y").select(F.col("block_y").alias("block"), "pair", F.lit(True).alias("right")))
@@ -340,16 +350,14 @@ def _crowd_links(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return found
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One row per row of df: id, class_id (the smallest id of its class), copy_of (the smallest id with the same words)."""
-    kind = df.schema[id_col].dataType
-    every = df.select(ref(id_col).cast("long").alias("id"), ref(text_col).cast("string").alias("text"))
-    docs = every.where("id IS NOT NULL")
-    signed = materialise(sign(docs, settings, "id", "text"), "signed")
+def classes(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(row, id, copy_of, label) of a written table (row long, id, text): label is the number of one row of the class, copy_of the smallest id
+    with the same words."""
+    signed = materialise(sign(docs, settings, ["row", "id"], "text"), "signed")
     # written, so that the join deals both sides anew and a large group of copies can be split
-    firsts = materialise(signed.where("words_hash IS NOT NULL").groupBy("words_hash").agg(F.min("id").alias("node")), "firsts")
-    copies = signed.join(firsts, "words_hash").select("id", "node", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys"))
-    copies = copies.unionByName(signed.where("words_hash IS NULL").select("id", F.col("id").alias("node"), F.lit(None).cast("array<bigint>").alias("keys")))
+    firsts = materialise(signed.where("words_hash IS NOT NULL").groupBy("words_hash").agg(F.min("row").alias("node"), F.min("id").alias("copy_of")), "firsts")
+    copies = signed.join(firsts, "words_hash").select("row", "id", "node", "copy_of", F.when(F.col("row") == F.col("node"), F.col("keys")).alias("keys"))
+    copies = copies.unionByName(signed.where("words_hash IS NULL").select("row", "id", F.col("row").alias("node"), F.col("id").alias("copy_of"), F.lit(None).cast("array<bigint>").alias("keys")))
     copies = materialise(copies, "copies")
     discard(signed, firsts)
     rows = copies.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
@@ -360,8 +368,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     weight = found_in.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
     members = materialise(found_in.join(weight, "node").select("key", "node", F.col("node").alias("label"), "weight"), "members")
     discard(shared, found_in)
-    wanted = members.select(F.col("node").alias("id")).distinct()
-    sets = materialise(shingle_sets(docs.join(wanted.hint("merge"), "id", "left_semi"), settings, "id", "text"), "shingles")
+    wanted = members.select(F.col("node").alias("row")).distinct()
+    sets = materialise(shingle_sets(docs.join(wanted.hint("merge"), "row", "left_semi"), settings, "row", "text").withColumnRenamed("row", "id"), "shingles")
     links: list[DataFrame] = []
     given_up: list[DataFrame] = []
     labels: DataFrame | None = None
@@ -393,11 +401,27 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             labels = components(reduce(DataFrame.unionByName, links))
         discard(mixed, apart, *given_up)
     discard(members, buckets, sets, *links)
-    classed = copies.select("id", "node")
-    if labels is not None:
-        classed = classed.join(labels.select(F.col("v").alias("node"), "label"), "node", "left")
-    else:
-        classed = classed.withColumn("label", F.col("node"))
-    unnamed = every.where("id IS NULL").select("id", F.col("id").alias("node"), F.col("id").alias("label"))
-    classed = classed.select("id", "node", "label").unionByName(unnamed)
-    return classed.select(F.col("id").cast(kind).alias(id_col), F.coalesce("label", "node").alias("class_id"), F.col("node").alias("copy_of"))
+    if labels is None:
+        return copies.select("row", "id", "copy_of", F.col("node").alias("label"))
+    classed = copies.select("row", "id", "copy_of", "node").join(labels.select(F.col("v").alias("node"), "label"), "node", "left")
+    return classed.select("row", "id", "copy_of", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """One row per row of df: id, class_id (the smallest id of its class), copy_of (the smallest id with the same words)."""
+    docs = materialise(df.select(F.monotonically_increasing_id().alias("row"), ref(id_col).alias("id"), ref(text_col).cast("string").alias("text")), "rows")
+    classed = materialise(classes(docs, settings), "classed")
+    discard(docs)
+    # written, so that a class that holds a third of all rows can be split
+    named = materialise(classed.groupBy("label").agg(F.min("id").alias("class_id")), "named")
+    return classed.join(named, "label").select(ref("id").alias(id_col), "class_id", "copy_of")
+
+
+def distinct_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """df's rows and columns, of each class of near-duplicates the row with the smallest id (rows without one last)."""
+    row = "_" * (1 + max(len(c) for c in df.columns)) + "row"
+    whole = materialise(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    docs = whole.select(F.col(row).alias("row"), ref(id_col).alias("id"), ref(text_col).cast("string").alias("text"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"]
+    chosen = materialise(classes(docs, settings).groupBy("label").agg(first.alias(row)).select(row), "chosen")
+    return whole.join(chosen.hint("merge"), row, "left_semi").select(*map(ref, df.columns))
