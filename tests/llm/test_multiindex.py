@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidepool.llm.multiindex import Codebooks, Settings, kmeans, search
+from tidepool.llm.multiindex import Codebooks, Settings, kmeans, nearest, search
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, id int, v string, g string, cell int"
 
@@ -61,6 +61,33 @@ def test_copies_ties_and_rows_that_take_no_part(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == {(q, k + 1, i, s) for q, near in want.items() for k, (s, i) in enumerate(near)}
 
 
+def test_nearest_with_ties_and_large_norms():
+    """Against plain sorting: 128 rows at one distance, and rows close together far from the origin."""
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=64)
+    ties = np.concatenate([q + s * np.eye(64) for s in (1.0, -1.0)])[rng.permutation(128)]
+    far = 1e6 + 1e-3 * rng.normal(size=(2000, 64))
+    for point, x in ((np.zeros(64), ties - q), (q, ties), (far[7], far), (far[7], np.round(far, 2)), (q, rng.normal(size=(3000, 64))), (q, np.repeat(rng.normal(size=(5, 64)), 30, 0))):
+        ids = rng.permutation(len(x))
+        score = np.sqrt(((x - point) ** 2).sum(1))
+        want = np.lexsort((ids, score))[:11]
+        at, got = nearest(point, x, ids, 11)
+        assert (at == want).all() and (got == score[want]).all()
+
+
+def test_ties_and_offsets_in_the_whole_search(spark):
+    rows = [(100, [0.0] * 63 + [3.0])] + [(i + 1, [float(s * (j == i % 63)) for j in range(63)] + [3.0]) for i in range(126) for s in [1 if i < 63 else -1] if i != 99]
+    got = search(frame(spark, rows), F.col("vec_id") % 100 == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 1.0) for i in range(1, 11)]
+    rng = np.random.default_rng(9)
+    data = np.float32(1e3) + np.float32(1e-2) * rng.normal(size=(2000, 8)).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    found, want = {}, exact(rows)
+    for r in search(frame(spark, rows), F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r["query_id"], set()).add((r["score"], r["vec_id"]))
+    assert sum(len(found[q] & set(near)) for q, near in want.items()) >= 0.9 * 10 * len(want)
+
+
 def test_few_and_no_rows(spark):
     few = search(frame(spark, [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 1.0])]), F.col("vec_id") % 100 == 0).collect()
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in few} == {(0, 1, 7), (0, 2, 100), (100, 1, 7), (100, 2, 0)}

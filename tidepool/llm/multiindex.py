@@ -2,7 +2,7 @@
 
 Vectors are halved, and each half has a codebook of its own (fitted on a bounded sample); a vector's cell is the pair of its nearest
 centroids, so K centroids a half make K x K cells. A search walks centroid pairs by the sum of their distances to the query's halves, with a
-heap, until the cells seen hold a share of all vectors, and ranks those by their true distance. The share is the least that finds `recall`
+heap, until the cells seen hold a share of all vectors, and ranks all of those by their true distance. The share is the least that finds `recall`
 of the true neighbours within the sample (where neighbours lie further apart than among all rows, so that it errs on the safe side):
 small where vectors cluster, large where they do not.
 
@@ -20,6 +20,7 @@ empty table gives an empty one; other columns of the input are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,20 +30,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import ref
-from tidepool.runtime import ensure_workers, materialise
+from tidepool.runtime import discard, ensure_workers, materialise
 
 
 @dataclass(frozen=True)
 class Settings:
-    """centroids: of each half. sample: vectors that the codebooks and the share are fitted on, at most; trials: how many of these are
+    """centroids: of each half at least; more where cells would hold over cell_rows vectors on average, up to one for 20 vectors of the sample.
+    sample: vectors that the codebooks and the share are fitted on, at most; trials: how many of these are
     searched for the latter. recall: of the true neighbours, within the sample. shard_rows, block_queries: vectors and queries of a task."""
 
     centroids: int = 64
+    cell_rows: int = 64
     sample: int = 20_000
     rounds: int = 10
     trials: int = 300
     recall: float = 0.98
-    shard_rows: int = 1_024
+    shard_rows: int = 4_096
     block_queries: int = 8_192
 
 
@@ -52,6 +55,8 @@ class Codebooks:
 
     @staticmethod
     def distances(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+        middle = centroids.mean(0)
+        vectors, centroids = vectors - middle, centroids - middle
         return np.maximum(0, (vectors**2).sum(1)[:, None] - 2 * vectors @ centroids.T + (centroids**2).sum(1)[None, :])
 
     def split(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,12 +108,15 @@ def share_to_walk(books: Codebooks, sample: np.ndarray, k: int, settings: Settin
         return 1.0
     cell = books.cells(sample)
     sizes = np.bincount(cell, minlength=len(books.halves[0]) * len(books.halves[1]))
-    tried = sample[:: max(1, n // settings.trials)]
+    step = max(1, n // settings.trials)
+    tried = sample[::step]
     one, two = books.split(tried)
-    squared = (sample**2).sum(1)
     shares = []
-    for q, x, y in zip(tried, one, two):
-        near = np.argpartition(squared - 2 * sample @ q, k)[: k + 1]
+    for i, (q, x, y) in enumerate(zip(tried, one, two)):
+        # a vector is no neighbour of its own
+        squared = ((sample - q) ** 2).sum(1)
+        squared[i * step] = np.inf
+        near = np.argpartition(squared, k - 1)[:k]
         walked = books.walk(x, y, sizes, n)
         before = np.zeros(len(sizes))
         before[walked] = np.cumsum(sizes[walked])
@@ -126,6 +134,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the k rows of x nearest to q, ties to the smaller id.
+
+    One product of matrices, around the middle of x, tells a row's squared distance up to an error that its lengths bound; every row that
+    may by this be among the k, equal ones included, is then measured by its true differences.
+    """
+    if len(x) > 4 * k:
+        middle = x.mean(0)
+        y, p = x - middle, q - middle
+        square, length = (y**2).sum(1), float(p @ p)
+        rough = square - 2 * (y @ p) + length
+        most = max(np.abs(x).max(), np.abs(q).max())
+        slack = 1e-12 * len(q) * (square + length) + 1e-14 * len(q) * most * (np.sqrt(square) + np.sqrt(length) + most * 1e-14)
+        at = np.flatnonzero(rough - slack <= np.partition(rough + slack, k - 1)[k - 1])
+    else:
+        at = np.arange(len(x))
+    score = np.sqrt(((x[at] - q) ** 2).sum(1))
+    best = np.lexsort((ids[at], score))[:k]
+    return at[best], score[best]
+
+
 def _shards(held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(first shard of each cell, over how many shards it is dealt): cells in a row share a shard up to `most` vectors."""
     first, count = np.zeros(len(held), np.int64), np.maximum(1, -(-held // most))
@@ -158,7 +187,8 @@ def search(df: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_i
     chosen = rows.select("v", F.xxhash64(F.lit("fit"), "g").alias("h"), "g").dropDuplicates(["g"]).orderBy("h", "g").limit(settings.sample).select("v").toArrow()
     sample = _matrix(chosen["v"].combine_chunks())
     cut = sample.shape[1] // 2
-    books = Codebooks((kmeans(sample[:, :cut], settings.centroids, settings.rounds, 1), kmeans(sample[:, cut:], settings.centroids, settings.rounds, 2)))
+    most = max(settings.centroids, min(len(sample) // 20, math.isqrt(entries.count() // settings.cell_rows)))
+    books = Codebooks((kmeans(sample[:, :cut], most, settings.rounds, 1), kmeans(sample[:, cut:], most, settings.rounds, 2)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,32 +232,26 @@ def search(df: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_i
     probes = asked.mapInArrow(probe, "qg string, qv array<double>, cells array<int>, shard int").withColumn("block", block("qg"))
     dealt = index.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("salt")).mapInArrow(deal, f"id {id_type}, v array<double>, cell int, shard int")
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    n_cells = len(held)
 
     def rank_shard(_key: tuple, asks: pa.Table, holds: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if asks.num_rows and holds.num_rows:
             q, x = _matrix(asks.column("qv").combine_chunks()), _matrix(holds.column("v").combine_chunks())
-            cell, squared, ids = holds.column("cell").to_numpy(), (x**2).sum(1), holds.column("id").to_numpy()
+            cell, ids = holds.column("cell").to_numpy(), holds.column("id").to_numpy()
             cells = asks.column("cells").to_pylist()
             for i, (v, own) in enumerate(zip(q, cells)):
-                walked = np.zeros(n_cells, bool)
-                walked[own] = True
-                here = np.flatnonzero(walked[cell])
-                rough = squared[here] - 2 * (x[here] @ v)
-                if len(here) > 4 * (k + 1):
-                    here = here[np.argpartition(rough, 4 * (k + 1))[: 4 * (k + 1)]]
-                score = np.sqrt(((x[here] - v) ** 2).sum(1))
-                best = np.lexsort((ids[here], score))[: k + 1]
-                out.append((i, here[best], score[best]))
+                here = np.flatnonzero(np.isin(cell, own))
+                best, score = nearest(v, x[here], ids[here], k + 1)
+                out.append((i, here[best], score))
         at = pa.array(np.concatenate([np.full(len(o[1]), o[0]) for o in out]) if out else np.zeros(0, np.int64), pa.int64())
         which = pa.array(np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64), pa.int64())
         return pa.table({"qg": asks.column("qg").take(at), "id": holds.column("id").take(which), "score": pa.array(np.concatenate([o[2] for o in out]) if out else np.zeros(0))})
 
     near = probes.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(rank_shard, f"qg string, id {id_type}, score double")
-    nearest = F.row_number().over(Window.partitionBy("qg").orderBy("score", "id"))
+    place = F.row_number().over(Window.partitionBy("qg").orderBy("score", "id"))
     # written, so that the join deals both sides anew and a vector that many queries share can be split
-    near = materialise(near.withColumn("n", nearest).where(F.col("n") <= k + 1).select("qg", "id", "score"), "near")
+    near = materialise(near.withColumn("n", place).where(F.col("n") <= k + 1).select("qg", "id", "score"), "near")
+    discard(index)
     queries = rows.where("q").select(F.col("id").alias("query_id"), F.col("g").alias("qg")).distinct()
     own = near.join(queries, "qg").where(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
