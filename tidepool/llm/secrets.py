@@ -1,13 +1,17 @@
 """Operator 8: secret scans with inferred grammars.
 
-For each kind of labelled credential a prefix tree of character classes is folded into a probabilistic automaton: two states are merged
-when their ways on (and those of the states after them) can't be told apart at a confidence level. One more automaton is learned from
-labelled plain strings. Every long unbroken run of credential characters is then scored by how much likelier its best format makes it than
-the plain automaton does, and runs beyond a threshold are added to what the fixed patterns find.
+For each kind of labelled credential, and for each kind of labelled string that is none (plain names, UUIDs, hashes, base64, numbers), a
+prefix tree is folded into a probabilistic automaton: two states are merged when neither their ends, nor their ways on, nor the characters
+they show, nor those of the states after them can be told apart at a confidence level. Signs that every example has equally often are symbols
+of their own, all other characters are one symbol, so that a state stands for a place in the format, and formats keep their lengths.
+
+Every unbroken run of credential characters, what fixed patterns leave of it, and its parts between = and / and . are scored by how much
+likelier the best credential automaton makes them than the best other one, or than evenly drawn characters; those beyond a threshold are
+added to what the fixed patterns find.
 
 Cases: a null text is an empty one; an empty text has no spans; texts of any length are read whole; repeated rows get equal spans;
-overlapping finds of different base kinds all stay, an added span never overlaps a base one; an empty table gives an empty one; other
-columns of the input are ignored.
+overlapping finds of different base kinds all stay, an added span never overlaps a base one; of overlapping candidates the one that gains
+most is added; an empty table gives an empty one; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -41,87 +45,100 @@ URL64 = UPPER + LOWER + DIGITS + "-_"
 #: The published shapes of common credentials, as (literal or (characters, least, most)) parts.
 FORMATS: dict[str, list] = {
     "access-key": ["AKIA", (UPPER + "234567", 16, 16)],
-    "secret-key": [(BASE64, 40, 40)],
     "git-token": ["ghp_", (BASE62, 36, 36)],
+    "git-fine-token": ["github_pat_", (BASE62, 22, 22), "_", (BASE62, 59, 59)],
+    "lab-token": ["glpat-", (BASE62, 20, 20)],
+    "package-token": ["npm_", (BASE62, 36, 36)],
+    "hub-token": ["hf_", (UPPER + LOWER, 34, 34)],
+    "mail-key": ["SG.", (URL64, 22, 22), ".", (URL64, 43, 43)],
     "chat-token": ["xoxb-", (DIGITS, 10, 12), "-", (DIGITS, 10, 12), "-", (BASE62, 24, 24)],
     "pay-key": ["sk_live_", (BASE62, 24, 24)],
     "map-key": ["AIza", (URL64, 35, 35)],
     "web-token": ["eyJ", (URL64, 30, 60), ".eyJ", (URL64, 40, 90), ".", (URL64, 43, 43)],
-    "digest": [(HEX, 32, 40)],
 }
 
-#: Character classes of the automata: a class holds equally likely characters.
-CLASSES = {"h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "0": DIGITS, **{c: c for c in "+/_.=-"}}
-CLASS_OF = {c: k for k, cs in CLASSES.items() for c in cs}
-ALPHABET = {k: i for i, k in enumerate(CLASSES)}
-END = len(ALPHABET)
-LOG_SIZE = np.log([len(v) for v in CLASSES.values()])
+SIGNS = "+/_.=-"
+CHARACTERS = BASE62 + SIGNS
+NUMBER = {c: i for i, c in enumerate(CHARACTERS)}
+END = len(CHARACTERS)
+#: Classes of characters, which a state's unseen characters borrow from.
+CLASSES = ["abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", DIGITS, *SIGNS]
+_class_of = np.array([next(k for k, cs in enumerate(CLASSES) if c in cs) for c in CHARACTERS])
+_class_size = np.array([len(cs) for cs in CLASSES])
+#: The symbol of all characters that aren't symbols of their own.
+ANY = "x"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """examples: labelled strings per format. alpha: level of the test that keeps states apart. least: characters of a candidate. The log
-    likelihood ratio must reach `gain` and `gain_per_char` for each character. unseen: probability mass of ways a state has not shown."""
+    """examples: labelled strings per kind. alpha: level of the test that keeps states apart. gain: least log likelihood ratio of a secret.
+    unseen: probability of what a state has not shown, and the root of that of an end that it has not. borrow: how many characters a state's class shares count as."""
 
-    examples: int = 120
+    examples: int = 300
     alpha: float = 0.05
-    least: int = 20
-    gain: float = 18.0
-    gain_per_char: float = 0.6
-    unseen: float = 0.02
+    gain: float = 8.0
+    unseen: float = 1e-5
+    borrow: float = 60.0
 
 
-def labelled(settings: Settings = Settings()) -> dict[str, list[str]]:
-    """Seeded examples of each format, and of plain strings under `plain`."""
+def credentials(settings: Settings = Settings()) -> dict[str, list[str]]:
+    """Seeded examples of each format."""
     rng = random.Random(8)
-    out = {}
-    for name, parts in FORMATS.items():
-        out[name] = ["".join(p if isinstance(p, str) else "".join(rng.choices(p[0], k=rng.randint(p[1], p[2]))) for p in parts) for _ in range(settings.examples)]
+    fill = lambda p: p if isinstance(p, str) else "".join(rng.choices(p[0], k=rng.randint(p[1], p[2])))
+    return {name: ["".join(map(fill, parts)) for _ in range(settings.examples)] for name, parts in FORMATS.items()}
+
+
+def others(settings: Settings = Settings()) -> dict[str, list[str]]:
+    """Seeded examples of long strings that are no credentials, by kind."""
+    rng = random.Random(9)
     syllables = [c + v for c in "b c d f g h k l m n p r s t v w th st tr en er in un re".split() for v in "a e i o u ea ou an en ion er".split()]
     word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 5)))
-    plain = []
-    for _ in range(settings.examples * 6):
-        kind = rng.randrange(8)
-        if kind == 0:
-            plain.append("".join(rng.choices(syllables, k=rng.randint(7, 14))))
-        elif kind == 1:
-            plain.append("_".join(word() for _ in range(rng.randint(2, 5))))
-        elif kind == 2:
-            plain.append("-".join(word() for _ in range(rng.randint(2, 6))) + rng.choice(["", f"-{rng.randrange(2030)}"]))
-        elif kind == 3:
-            plain.append("/".join(word() for _ in range(rng.randint(2, 6))) + rng.choice(["", ".html", ".py", "/"]))
-        elif kind == 4:
-            plain.append("".join(word().capitalize() for _ in range(rng.randint(2, 6))))
-        elif kind == 5:
-            plain.append(".".join(word() for _ in range(rng.randint(2, 5))))
-        elif kind == 6:
-            plain.append("".join(rng.choices(syllables, k=rng.randint(6, 12))).upper())
-        else:
-            plain.append(rng.choice([f"{rng.randrange(1990, 2030)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}", str(rng.randrange(10**9)), rng.choice("=-_.") * rng.randint(20, 60)]))
-    out["plain"] = plain
-    return out
+    words = lambda least, most: [word() for _ in range(rng.randint(least, most))]
+    chars = lambda of, n: "".join(rng.choices(of, k=n))
+    plain = [
+        lambda: "".join(words(3, 6)), lambda: "_".join(words(2, 5)), lambda: "-".join(words(2, 6)) + rng.choice(["", f"-{rng.randrange(2030)}"]),
+        lambda: "/".join(words(2, 6)) + rng.choice(["", ".html", ".py", "/"]), lambda: "".join(map(str.capitalize, words(2, 6))),
+        lambda: ".".join(words(2, 5)), lambda: "".join(words(3, 6)).upper(), lambda: "_".join(words(2, 5)).upper(),
+    ]
+    uuid = lambda of: "-".join(chars(of, n) for n in (8, 4, 4, 4, 12))
+    number = [lambda: f"{rng.randrange(1990, 2030)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}", lambda: chars(DIGITS, rng.randint(8, 30)), lambda: rng.choice("=-_.") * rng.randint(20, 60)]
+    made = {
+        "plain": lambda k: plain[k % len(plain)](),
+        "uuid": lambda k: uuid(HEX),
+        "uuid-upper": lambda k: uuid(HEX.upper()),
+        "hash": lambda k: chars(HEX, (32, 40, 64)[k % 3]),
+        "hash-upper": lambda k: chars(HEX.upper(), (32, 40, 64)[k % 3]),
+        "base64": lambda k: chars(BASE64, rng.choice([64, 76, rng.randint(16, 110)])) + "=" * rng.choice([0, 0, 1, 2]),
+        "number": lambda k: number[k % len(number)](),
+    }
+    return {name: [make(k) for k in range(settings.examples * (3 if name == "plain" else 1))] for name, make in made.items()}
 
 
 @dataclass
 class State:
+    """came, ended: examples. ways: symbol to state; took: symbol to examples. shown: how often each character stood for ANY here."""
+
     came: int = 0
     ended: int = 0
-    ways: dict[int, int] = field(default_factory=dict)  # class to state
-    took: dict[int, int] = field(default_factory=lambda: defaultdict(int))  # class to how many took it
+    ways: dict[str, int] = field(default_factory=dict)
+    took: dict[str, int] = field(default_factory=lambda: defaultdict(int))
+    shown: dict[int, int] = field(default_factory=lambda: defaultdict(int))
 
 
 class Grammar:
     """A probabilistic automaton folded from the prefix tree of examples."""
 
     def __init__(self, examples: list[str], alpha: float = 0.05) -> None:
+        self.fixed = {c for c in SIGNS if len({x.count(c) for x in examples}) == 1 and c in examples[0]}
         self.states = [State()]
         for text in examples:
             at = 0
             self.states[0].came += 1
             for c in text:
-                k = ALPHABET[CLASS_OF[c]]
-                s = self.states[at]
+                s, k = self.states[at], c if c in self.fixed else ANY
                 s.took[k] += 1
+                if k == ANY:
+                    s.shown[NUMBER[c]] += 1
                 if k not in s.ways:
                     s.ways[k] = len(self.states)
                     self.states.append(State())
@@ -131,21 +148,21 @@ class Grammar:
         self.slack = math.sqrt(0.5 * math.log(2 / alpha))
         self._fold()
 
-    def _differ(self, a: int, n: int, b: int, m: int) -> bool:
-        return abs(a / n - b / m) > self.slack * (n**-0.5 + m**-0.5)
+    def _differ(self, a: dict, n: int, b: dict, m: int) -> bool:
+        least = self.slack * (n**-0.5 + m**-0.5)
+        return least < 1 and any(abs(a.get(k, 0) / n - b.get(k, 0) / m) > least for k in a.keys() | b.keys())
 
     def _alike(self, a: int, b: int) -> bool:
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
+        pairs = [(a, b)]
+        for a, b in pairs:
+            p, q = self.states[a], self.states[b]
+            if self._differ({None: p.ended, **p.took}, p.came, {None: q.ended, **q.took}, q.came):
+                return False
+            pairs += [(p.ways[k], q.ways[k]) for k in p.ways if k in q.ways]
+        for a, b in pairs:
             p, q = self.states[a], self.states[b]
-            if self._differ(p.ended, p.came, q.ended, q.came):
+            if p.shown and q.shown and self._differ(p.shown, p.took[ANY], q.shown, q.took[ANY]):
                 return False
-            for k in p.took.keys() | q.took.keys():
-                if self._differ(p.took.get(k, 0), p.came, q.took.get(k, 0), q.came):
-                    return False
-                if k in p.ways and k in q.ways:
-                    todo.append((p.ways[k], q.ways[k]))
         return True
 
     def _fold(self) -> None:
@@ -170,6 +187,8 @@ class Grammar:
                 p, q = self.states[a], self.states[b]
                 p.came += q.came
                 p.ended += q.ended
+                for c, n in q.shown.items():
+                    p.shown[c] += n
                 for k, n in q.took.items():
                     p.took[k] += n
                     if k not in p.ways:
@@ -177,62 +196,87 @@ class Grammar:
                     elif p.ways[k] != q.ways[k]:
                         todo.append((p.ways[k], q.ways[k]))
 
-    def tables(self, unseen: float) -> tuple[np.ndarray, np.ndarray]:
-        """(next state by state and class, log probability of a character of each class and of the end)."""
+    def tables(self, unseen: float, borrow: float) -> tuple[list[list[int]], list[list[float]]]:
+        """(next state by state and character, log probability of each character and of the end)."""
         number, order = {0: 0}, [0]
         for s in order:
             for q in self.states[s].ways.values():
                 if q not in number:
                     number[q] = len(order)
                     order.append(q)
-        step = np.zeros((len(order), END), np.int64)
-        log = np.zeros((len(order), END + 1))
+        step, log = np.zeros((len(order), END), np.int64), np.zeros((len(order), END + 1))
+        free = np.array([c not in self.fixed for c in CHARACTERS])
         for i, s in enumerate(order):
-            state = self.states[s]
-            share = np.full(END + 1, unseen / (END + 1))
+            state, share = self.states[s], np.zeros(END + 1)
             for k, n in state.took.items():
-                share[k] += (1 - unseen) * n / max(state.came, 1)
-                step[i, k] = number[state.ways[k]]
-            share[END] += (1 - unseen) * state.ended / max(state.came, 1)
-            log[i] = np.log(share)
-            log[i, :END] -= LOG_SIZE
-        return step, log
+                if k == ANY:
+                    shown = np.zeros(END)
+                    shown[list(state.shown)] = list(state.shown.values())
+                    shares = np.bincount(_class_of, shown, len(CLASSES)) / shown.sum()
+                    share[:END] += n / state.came * (shown + borrow * (shares / _class_size)[_class_of]) / (shown.sum() + borrow)
+                    step[i, free] = number[state.ways[k]]
+                else:
+                    share[NUMBER[k]] += n / state.came
+                    step[i, NUMBER[k]] = number[state.ways[k]]
+            share[END] = state.ended / max(state.came, 1)
+            log[i] = np.log((1 - unseen) * share + unseen / (END + 1))
+            if not state.ended:
+                log[i, END] = 2 * np.log(unseen)
+        return step.tolist(), log.tolist()
 
 
 @dataclass
 class Scorer:
-    """Tables of the formats' automata and of the plain one."""
+    """Tables of the automata of credentials and of other strings; least: characters of the shortest labelled credential."""
 
     formats: dict[str, tuple]
-    plain: tuple
+    plain: dict[str, tuple]
+    least: int
     settings: Settings
 
     @staticmethod
-    def _log_likelihood(tables: tuple, classes: list[int]) -> float:
+    def fit(credentials: dict[str, list[str]], others: dict[str, list[str]], settings: Settings = Settings()) -> Scorer:
+        """From labelled strings of A-Z a-z 0-9 + / _ . = -, by kind."""
+        made = lambda kinds: {n: Grammar(x, settings.alpha).tables(settings.unseen, settings.borrow) for n, x in kinds.items() if x}
+        return Scorer(made(credentials), made(others), min((len(t) for x in credentials.values() for t in x), default=1), settings)
+
+    @staticmethod
+    def _log_likelihood(tables: tuple, numbers: list[int]) -> float:
         step, log = tables
         at, total = 0, 0.0
-        for k in classes:
+        for k in numbers:
             total += log[at][k]
             at = step[at][k]
         return total + log[at][END]
 
-    def gain(self, text: str) -> tuple[str, float]:
-        """(likeliest format, its log likelihood less that of plain text)."""
-        classes = [ALPHABET[CLASS_OF[c]] for c in text]
-        name, best = max(((n, self._log_likelihood(t, classes)) for n, t in self.formats.items()), key=lambda x: x[1])
-        return name, best - self._log_likelihood(self.plain, classes)
+    def gain(self, text: str) -> tuple[str | None, float]:
+        """(likeliest format, its log likelihood less that of the likeliest other kind of string)."""
+        numbers = [NUMBER[c] for c in text]
+        name, best = max(((n, self._log_likelihood(t, numbers)) for n, t in self.formats.items()), key=lambda x: x[1], default=(None, -math.inf))
+        even = -len(text) * math.log(END / 0.98) + math.log(0.02)
+        return name, best - max([even, *(self._log_likelihood(t, numbers) for t in self.plain.values())])
 
     def accepts(self, text: str) -> bool:
-        if len(text) < self.settings.least:
-            return False
-        gain = self.gain(text)[1]
-        return gain >= self.settings.gain and gain >= self.settings.gain_per_char * len(text)
+        return len(text) >= self.least and self.gain(text)[1] >= self.settings.gain
+
+    def find(self, text: str) -> list[tuple[int, int]]:
+        """(begin, end) of the secrets in an unbroken run: of the run and its parts, the ones that gain most."""
+        parts = {(m.start(), m.end()) for p in _PARTS for m in p.finditer(text) if m.end() - m.start() >= self.least}
+        scored = sorted((-g, b, e) for b, e in parts if (g := self.gain(text[b:e])[1]) >= self.settings.gain)
+        out: list[tuple[int, int]] = []
+        for _, b, e in scored:
+            if not any(b < y and x < e for x, y in out):
+                out.append((b, e))
+        return sorted(out)
+
+
+#: A run without the signs around it, and its parts between = and /, and between these and dots.
+_PARTS = [re.compile(r"(?<![^.=/])[^.=/](?:.*[^.=/])?"), re.compile(r"[^=/]+"), re.compile(r"[^=/.]+")]
 
 
 @lru_cache(maxsize=4)
 def learn(settings: Settings = Settings()) -> Scorer:
-    made = {n: tuple(t.tolist() for t in Grammar(x, settings.alpha).tables(settings.unseen)) for n, x in labelled(settings).items()}
-    return Scorer({n: t for n, t in made.items() if n != "plain"}, made["plain"], settings)
+    return Scorer.fit(credentials(settings), others(settings), settings)
 
 
 _run = np.zeros(256, bool)
@@ -269,15 +313,17 @@ def scan(texts: pa.Array, scorer: Scorer) -> list[list[tuple[int, int, int]]]:
             found[i] += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
         if b"AKIA" in text:
             found[i] += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    begins, ends = _runs(_run[data], scorer.settings.least)
+    begins, ends = _runs(_run[data], scorer.least)
     for b, e in zip(begins.tolist(), ends.tolist()):
         i = int(np.searchsorted(edges, b, side="right")) - 1
-        at = b - int(edges[i])
-        text = whole[i][at : e - int(edges[i])].decode()
-        at += len(text) - len(text := text.lstrip(".=/"))
-        text = text.rstrip(".")
-        if not any(x < at + len(text) and at < y for x, kind, y in found.get(i, ()) if kind < 3) and scorer.accepts(text):
-            found[i].append((at, 3, at + len(text)))
+        at, to = b - int(edges[i]), e - int(edges[i])
+        free = []  # what the base spans leave of the run
+        for x, _, y in sorted(s for s in found.get(i, ()) if s[1] < 3 and s[0] < to and at < s[2]):
+            free.append((at, x))
+            at = max(at, y)
+        for x, y in [*free, (at, to)]:
+            if y - x >= scorer.least:
+                found[i] += [(x + p, 3, x + q) for p, q in scorer.find(whole[i][x:y].decode())]
     out: list[list[tuple[int, int, int]]] = [[] for _ in whole]
     for i, spans in found.items():
         if not whole[i].isascii():
@@ -297,9 +343,10 @@ def _struct_list(found: list[list[tuple[int, int, int]]]) -> pa.Array:
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
 
 
-def find_secrets(df: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", settings: Settings = Settings(), result: str = "spans") -> DataFrame:
-    """`keep` columns of each row, and its spans array<struct<kind, begin, end>> by begin, then kind (assign, access, hex, grammar)."""
-    scorer = learn(settings)
+def find_secrets(df: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", scorer: Scorer | None = None, result: str = "spans") -> DataFrame:
+    """`keep` columns of each row, and its spans array<struct<kind, begin, end>> by begin, then kind (assign, access, hex, grammar). scorer: of other labelled
+    strings (Scorer.fit) than the seeded ones."""
+    scorer = scorer or learn()
 
     def make():
         return lambda texts, _rows: [_struct_list(scan(texts, scorer))]
@@ -307,9 +354,9 @@ def find_secrets(df: DataFrame, *, keep: list[str] | None = None, text_col: str
     return map_texts(df, text_col, keep or ["doc_id"], [T.StructField(result, T.ArrayType(SPAN))], make)
 
 
-def redact(df: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", settings: Settings = Settings()) -> DataFrame:
+def redact(df: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", scorer: Scorer | None = None) -> DataFrame:
     """df's rows and columns, each joined stretch of spans in a text replaced by mark; null texts stay null."""
-    scorer = learn(settings)
+    scorer = scorer or learn()
     rest = [c for c in df.columns if c != text_col]
     name = "_" * (1 + max((len(c) for c in df.columns), default=0)) + "redacted"
 
