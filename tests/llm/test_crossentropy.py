@@ -20,24 +20,26 @@ def brute(rows, targets, settings=Settings()):
     end = t.get_vocab_size()
     v = end + 1
     docs = [(i, t.encode(x or "", add_special_tokens=False).ids + [end]) for i, x in rows]
-    models = []
+    sums = []
     for chosen in (lambda i: i in targets, lambda i: True):
-        pair, context, token = Counter(), Counter(), Counter()
+        pair, token = Counter(), Counter()
         for i, ids in docs:
             if chosen(i):
-                for a, b in zip([end, *ids], ids):
-                    pair[a, b] += 1
-                    context[a] += 1
-                    token[b] += 1
-        models.append((pair, context, token, sum(token.values())))
+                pair.update(zip([end, *ids], ids))
+                token.update(ids)
+        sums.append((pair, token, sum(token.values())))
     out = []
     for i, ids in docs:
         loss = []
-        for pair, context, token, total in models:
+        for k, (pair, token, total) in enumerate(sums):
+            # the document itself taken off, and the background scaled to the target's size
+            off = k == 1 or i in targets
+            own_pair, own_token = Counter(zip([end, *ids], ids)), Counter(ids)
+            scale = sums[0][2] / sums[1][2] if k else 1.0
             x = 0.0
             for a, b in zip([end, *ids], ids):
-                single = (token[b] + settings.prior_token) / (total + settings.prior_token * v)
-                x -= math.log((pair[a, b] + settings.prior_pair * single) / (context[a] + settings.prior_pair))
+                single = (scale * (token[b] - off * own_token[b]) + settings.prior_token) / (scale * (total - off * len(ids)) + settings.prior_token * v)
+                x -= math.log((scale * (pair[a, b] - off * own_pair[a, b]) + settings.prior_pair * single) / (scale * (token[a] - off * own_token[a]) + settings.prior_pair))
             loss.append(x / len(ids))
         out.append((i, len(ids), *loss))
     return out
@@ -70,9 +72,27 @@ def test_target_documents_score_lower(spark):
     assert sum(new) / len(new) < sum(other) / len(other)
 
 
+def test_repeated_and_missing_ids_make_no_large_block(spark):
+    """Half of the rows have no id, a quarter share one, which is a target's."""
+    rows = [(None if i % 2 else 7 if i % 4 else i, edge.prose(i % 50, 20)) for i in range(400)] + [(1000, "<|endoftext|> as a literal")]
+    labels = spark.createDataFrame([(7,), (8,), (1000,)], "doc_id bigint")
+    df = edge.documents(spark, rows)
+    got = score(df, labels, PATH, settings=Settings(block_bytes=2000)).collect()
+    same([(r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in got], brute(rows, {7, 8, 1000}))
+
+
+def test_documents_that_occur_twice_stand_out(spark):
+    """Their other copy is part of the background, they themselves are not."""
+    rows = [(i, edge.prose(i if i >= 40 else i // 2, 120)) for i in range(400)]
+    labels = spark.createDataFrame([(i,) for i in range(41, 400, 2)], "doc_id bigint")
+    by = {r["doc_id"]: r["background_loss"] for r in score(edge.documents(spark, rows), labels, PATH).collect()}
+    alone = sorted(by[i] for i in range(40, 400))
+    assert sum(by[i] < alone[36] for i in range(40)) >= 36
+
+
 def test_edge_rows(spark):
     labels = spark.createDataFrame([(5,)], "doc_id bigint")
     got = score(edge.documents(spark), labels, PATH).collect()
     same([(r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in got], brute(edge.TEXTS, {5}))
     none = labels.where("false")
-    assert score(edge.documents(spark), none, PATH).count() == len(edge.TEXTS) and score(edge.empty(spark), labels, PATH).count() == 0
+    assert [r["score"] for r in score(edge.documents(spark), none, PATH).collect()] == [0.0] * len(edge.TEXTS) and score(edge.empty(spark), labels, PATH).count() == 0
