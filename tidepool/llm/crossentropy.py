@@ -138,7 +138,8 @@ def score(df: DataFrame, targets: DataFrame, tokenizer_path: str, *, id_col: str
     kind = df.schema[id_col].dataType
     docs = df.select(ref(id_col).cast("string").alias("id"), ref(text_col).cast("string").alias("text"))
     chosen = targets.select(ref(id_col).cast("string").alias("id")).where("id IS NOT NULL").distinct().withColumn("held", F.lit(True))
-    marked = docs.where("id IS NOT NULL").join(chosen, "id", "left").select("id", F.coalesce("held", F.lit(False)).alias("held"), "text")
+    # a merge join at every size: what it needs grows as the input does, and an id that many rows share can be split
+    marked = docs.where("id IS NOT NULL").join(chosen.hint("merge"), "id", "left").select("id", F.coalesce("held", F.lit(False)).alias("held"), "text")
     marked = marked.unionByName(docs.where("id IS NULL").select("id", F.lit(False).alias("held"), "text"))
     end = len(tokens(tokenizer_path).tokenizer.get_vocab())
     width = "<u2" if end < 1 << 16 else "<u4"
