@@ -248,14 +248,19 @@ def blocks(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     Sizes that can be alike are on one rung or on two next to each other, and the members of a rung are dealt to its blocks by a hash. Labels that
     fill a block have blocks of their own, which needn't be compared with each other.
     """
-    firsts = materialise(apart.groupBy("key").agg(F.min("node").alias("first")), "firsts")
-    edges = materialise(apart.join(firsts.hint("merge"), "key").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "edges")
+    # a bucket's hub is its smallest node, a node's hub the smallest of its buckets': what is left to connect is hubs that share a bucket
+    hubs = apart.groupBy("key").agg(F.min("node").alias("hub"))
+    near = materialise(apart.join(hubs.hint("merge"), "key").groupBy("node").agg(F.min("hub").alias("hub")), "hubs")
+    held = materialise(apart.join(near.hint("merge"), "node").select("key", "hub").distinct(), "held")
+    lowest = held.groupBy("key").agg(F.min("hub").alias("low"))
+    edges = materialise(held.join(lowest.hint("merge"), "key").where("hub != low").select(F.col("hub").alias("a"), F.col("low").alias("b")).distinct(), "edges")
     crowds = components(edges)
-    members = apart.select("node", "label").distinct().join(crowds.select(F.col("v").alias("node"), F.col("label").alias("crowd")), "node")
+    own = near.join(crowds.select(F.col("v").alias("hub"), F.col("label").alias("top")), "hub", "left").select("node", F.coalesce("top", "hub").alias("crowd"))
+    members = apart.select("node", "label").distinct().join(own, "node")
     rung = F.floor(F.log(F.greatest("size", F.lit(1))) / -np.log(similarity - 1e-6)).cast("int") if similarity < 1 else F.col("size").cast("int")
     members = members.join(sets.select(F.col("id").alias("node"), F.size("grams").cast("long").alias("size")), "node").withColumn("rung", rung)
     members = materialise(members, "crowds")
-    discard(firsts, edges, crowds)
+    discard(near, held, edges, crowds)
     large = members.groupBy("crowd", "rung", "label").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK).select("crowd", "rung", "label", F.col("label").alias("own"))
     placed = members.join(large, ["crowd", "rung", "label"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
     totals = placed.groupBy("crowd", "rung", "own").agg(F.ceil(F.sum("size") / BLOCK).alias("many"))
