@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.llm import edge
-from tidepool.llm.languages import UND, codewords, fit, grams, held_out, identify
+from tidepool.llm.languages import UND, Settings, codewords, fit, grams, held_out, identify
 
 VOICES = {"aa": "abcdeé", "bb": "fghijkl", "cc": "mnopqr", "dd": "stuvwx", "ee": "zyaxbñ", "ff": "aeioubcd", "gg": "xyzklmn", "hh": "qwertü"}
 
@@ -59,6 +59,7 @@ def test_ambiguous_texts_are_flagged(spark):
     df = spark.createDataFrame(made(400, ["aa", "bb"]), "doc_id bigint, text string, lang string")
     model = fit(df)
     names, score, unclear = model.predict(["abc de cab", "fgh ijk lig", "wwww", "", None, "123"])
+    assert fit(df, settings=Settings(ambiguous=2.0)).predict(["abc de cab"])[2].all()
     assert names[:2] == ["aa", "bb"] and names[3:] == [UND] * 3 and unclear[3:].all() and not unclear[:2].any() and (score[3:] == 0).all()
 
 

@@ -52,6 +52,74 @@ def test_exact_texts_are_covered_whole_behind_stray_words():
                 assert own == [(t, 31 + gap, 31 + gap + len(words), n)], (name, stray, gap)
 
 
+def found(text: str) -> dict[str, tuple]:
+    scanner = Scanner(TEMPLATES, Settings())
+    return {scanner.names[h[0]]: h[1:] for h in scanner.scan([text.encode()])[0]}
+
+
+def test_hits_of_any_length_without_strays():
+    """Words put into a text of a license, in one place or all over, make the hit longer; stray words far from it don't."""
+    for name in ("mit", "bsd-2-clause", "apache-2.0"):
+        words = TEMPLATES[name].split()
+        for many in (60, 300):
+            text = f"{edge.prose(7, 40)} {' '.join(words[:30])} {edge.prose(8, many)} {' '.join(words[30:])} {edge.prose(9, 40)}"
+            assert found(text)[name] == (40, 40 + len(words) + many, len(words)), (name, many)
+        spread = " ".join(f"{w} {x}" for w, x in zip(words, edge.prose(10, len(words)).split()))
+        assert found(f"{edge.prose(7, 40)} {spread}")[name][2] == len(words)
+        assert found(f"{words[0]} {edge.prose(11, 500)} {TEMPLATES[name]}")[name] == (501, 501 + len(words), len(words))
+    assert found("This License is a " + TEMPLATES["cc-by-4.0"])["cc-by-4.0"] == (4, 16, 12)
+
+
+def test_words_that_tell_licenses_apart():
+    assert list(found("Released under the BSD License.")) == ["bsd-notice"] and found("Released under the Tide License.") == {}
+    assert found("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.") == {}
+    assert found("This work is licensed under a Creative Commons Attribution 3.0 International License.") == {}
+    assert found("This work is licensed under the GNU General Public License, version 2.") == {}
+
+
+def brute(template: list[int], ids: list[int], telling: set[int], need: int, cost: float) -> int:
+    """Most partners of any hit, over all ways to pair rising places: by dynamic programming on (partners, worth) of series that end in a pair."""
+    best: dict[tuple[int, int], list[tuple[int, float, frozenset]]] = {}
+    most = 0
+    for i, w in enumerate(template):
+        for j, x in enumerate(ids):
+            if w != x:
+                continue
+            own = [(1, 1.0, frozenset({w} & telling))]
+            for (a, b), series in best.items():
+                if a < i and b < j:
+                    own += [(n + 1, v - cost * max(0, j - b - (i - a)) + 1, t | ({w} & telling)) for n, v, t in series if v - cost * max(0, j - b - (i - a)) > 0]
+            own.sort(key=lambda s: (-s[0], -s[1]))
+            kept: list = []
+            for s in own:
+                if not any(k[0] >= s[0] and k[1] >= s[1] and k[2] >= s[2] for k in kept):
+                    kept.append(s)
+            best[i, j] = kept
+            most = max([most, *(n for n, _, t in kept if t >= telling and n >= need)])
+    return most
+
+
+def test_scan_against_all_ways_to_align():
+    """A text is found exactly when some alignment holds, and with as many partners but for what patience alignment gives away."""
+    rng = random.Random(12)
+    scanner = Scanner({"t": "one two three four five six seven eight"}, Settings(), {"t": ("three",)})
+    number = {w.decode(): i for w, i in scanner.number.items()}
+    agreed = some = 0
+    for _ in range(400):
+        words = "one two three four five six seven eight".split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(8)] = rng.choice(["tide", "one", "four", "moon"])
+        for _ in range(rng.randrange(6)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["x", "y", "z", "two", "six"]))
+        ids = [number.get(w, 0) for w in words]
+        want = brute(scanner.words[0], ids, scanner.telling[0], scanner.need[0], scanner.cost[0])
+        got = max((h[3] for h in scanner.scan([" ".join(words).encode()])[0]), default=0)
+        assert got <= want
+        agreed += got == want
+        some += want > 0
+    assert some > 60 and agreed >= 390, (some, agreed)
+
+
 def test_edited_copy_before_an_exact_one_is_kept():
     scanner = Scanner(TEMPLATES, Settings())
     name = "cc-by-sa-4.0"

@@ -1,10 +1,12 @@
 """Operator 4: language identification with error-correcting output codes.
 
 Every language gets a codeword; one binary classifier per bit tells languages whose bit is 1 from the others by character n-grams, and the
-word whose bits lose least, each loss weighted by how well its classifier does on the training rows, is the prediction. A near tie between
-two words is flagged as ambiguous.
+word whose bits lose least, each loss weighted by how far apart its classifier puts the two sides' languages at least, is the prediction. A
+near tie between two words is flagged as ambiguous. Codewords of two languages differ in the one bit there is and those of three in two, so
+errors of single bits are outvoted from four languages on.
 
-The classifiers are fitted on at most `per_language` labelled rows of each language (chosen by a hash of the id, so alike at every size);
+The classifiers are fitted on about `per_language` labelled rows of each language: each row is drawn by a hash of its id with the probability
+that makes this the mean, so the number varies by its root, and rows of one id are drawn together;
 what reaches the driver is one count per language and n-gram bucket, at most languages x BUCKETS rows.
 
 Cases: null texts and texts without letters are `und` with score 0; a null language is never learned; with one language learned, that one
@@ -34,7 +36,7 @@ UND = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """per_language: labelled rows per language that the classifiers are fitted on, at most. extra_bits: columns of the code beyond
+    """per_language: labelled rows per language that the classifiers are fitted on, on average. most_bits: columns of the code beyond
     which an exhaustive code is not used. ambiguous: least lead of the best codeword, as a share of the whole loss."""
 
     per_language: int = 3000
@@ -100,6 +102,7 @@ class Model:
     #: How much each bit counts, and by how much its mean weight is multiplied.
     trust: np.ndarray
     scale: np.ndarray
+    ambiguous: float = Settings.ambiguous
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """One row per text, one column per bit: mean weight of the text's n-grams."""
@@ -127,7 +130,7 @@ class Model:
         low = np.sort(loss, 1)
         lead = low[:, 1] - low[:, 0]
         score = 1 / np.exp(low[:, :1] - loss).sum(1)
-        unclear = lead < Settings.ambiguous * loss.sum(1)
+        unclear = lead < self.ambiguous * loss.sum(1)
         names = [self.languages[b] for b in best]
         for i, t in enumerate(texts):
             if not has_letter(t):
@@ -174,7 +177,7 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
     apart = np.abs((share_of[:, None, :] * weights[None, :, :]).sum(2))
     near = apart.min(0)
     trust = near / near.sum()
-    return Model(languages, code, weights.astype(np.float32), trust * len(trust), 6 / np.maximum(near, 1e-6))
+    return Model(languages, code, weights.astype(np.float32), trust * len(trust), 6 / np.maximum(near, 1e-6), settings.ambiguous)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
