@@ -93,11 +93,11 @@ def test_report(spark):
 
 def test_stores_round_trip(spark, tmp_path):
     made = corpus.manifest(pages(spark))
-    stores.append_lines(made, f"{tmp_path}/m")
-    stores.append_lines(made, f"{tmp_path}/m")
+    stores.write_lines(made.unionByName(made), f"{tmp_path}/m")
     assert stores.read_lines(spark, f"{tmp_path}/m", corpus.MANIFEST).distinct().count() == 3
     stores.write_documents(pages(spark).select("canonical_url", "document"), f"{tmp_path}/c")
-    assert spark.read.parquet(f"{tmp_path}/c").select("site").distinct().head()["site"] == "e.example"
+    stores.write_documents(pages(spark).select("canonical_url", "document"), f"{tmp_path}/c")  # over the first ones
+    assert spark.read.parquet(f"{tmp_path}/c").count() == 3
 
 
 def test_fetch_errors(spark):

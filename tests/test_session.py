@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import http.server
 import threading
+import time
 
 import pytest
 
@@ -49,12 +50,47 @@ def test_command_line_crawls_and_searches(spark, server, tmp_path, capsys):
     assert session.main(["search", out, "tide, pool", "--mode=separate"], spark) == 0 and session.main(["search", f"{tmp_path}/none", "x"], spark) == 2
     assert session.main(args, spark) == 0  # nothing is left to do
     assert '"written": 3, "failed": 0' in capsys.readouterr().out.splitlines()[-1]
-    with pytest.raises(session.FingerprintMismatch):
-        session.main([*args, "--max-depth", "1"], spark)
+    assert session.main([*args, "--max-depth", "1"], spark) == 3 and "other options" in capsys.readouterr().err
     assert session.main(["--version"]) == 0 and session.main(["--what"]) == 2
     index = [r["value"] for r in spark.read.text(f"{out}/index").collect()]
     assert index[0] == "# Crawl index" and len(index) == 4 + 3
     assert spark.read.text(f"{out}/graph").count() == 3
+    full = [r["value"] for r in spark.read.text(f"{out}/full").collect()]
+    assert full[0] == f"# {server}/" and full[1] == f"url: {server}/" and full.count("---") >= 3
+
+
+def test_a_run_that_ended_early_is_done_again_without_doubles(spark, tmp_path):
+    import shutil
+
+    rows = [(f"https://x.example{p}", 200, "text/html", f"<main>{p}<a href='/2'>2</a></main>", None, None) for p in ("/", "/2")]
+    store = materialise(spark.createDataFrame(rows, STORE), "web")
+    out = f"{tmp_path}/out"
+    for _ in range(3):
+        assert session.run_one(spark, store, "https://x.example/", Config(sitemap="off"), out).written == 2
+        assert session.open_corpus(spark, out).count() == 2
+        shutil.rmtree(f"{out}/frontier")
+
+
+def test_live_retries_wait(spark):
+    """With a clock, a page that failed is asked again only when its delay is over."""
+    from pyspark.sql import functions as F
+
+    from tidepool.operators.crawl import crawl
+    from tidepool.sources.stores import lookup
+
+    asked, now = [], [0]
+    rows = [("https://x.example/", 200, "text/html", "<main>x</main>", None, None)]
+
+    def store(urls):
+        first = not asked
+        if any(r["url"].endswith("example/") for r in urls.collect()):
+            asked.append(time.time())
+        got = lookup(spark.createDataFrame(rows, STORE), urls)
+        return got.withColumn("status", F.when(F.lit(first), F.lit(None).cast("int")).otherwise(F.col("status")))
+
+    begin = time.time()
+    crawl(spark, store, "https://x.example/", Config(sitemap="off", batch_mode="exact"), clock=lambda: int((time.time() - begin) * 1000))
+    assert len(asked) < 2 or asked[-1] - asked[0] >= 0.4
 
 
 def test_folders_by_host_and_fresh_runs(spark, tmp_path):

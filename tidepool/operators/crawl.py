@@ -6,6 +6,8 @@ every step's tables are written to the shared folder, so plans don't grow and lo
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +53,7 @@ class Crawl:
         return (self.start_url, self.written, self.failed, self.skipped, self.pending, self.changed, self.unchanged, self.truncated)
 
 
-def crawl(spark: SparkSession, store, start_url: str, config: Config, *, now: int = 0, known: DataFrame | None = None) -> Crawl:
+def crawl(spark: SparkSession, store, start_url: str, config: Config, *, now: int = 0, known: DataFrame | None = None, clock: Callable[[], int] | None = None) -> Crawl:
     """Crawls a store (tidepool.sources.stores.STORE, or a function from URLs to it) from one URL. known: the frontier of a run to go on with."""
     config.validate()
     root = urls.canonicalize(start_url, keep_query=True, allow_private=config.allow_private_network)
@@ -74,6 +76,7 @@ def crawl(spark: SparkSession, store, start_url: str, config: Config, *, now: in
     n_failed = n_changed = 0
     limits = page.Limits(config.max_body_size, 2 << 20, 10_000)
     while True:
+        now = clock() if clock else now
         frontier = fr.recover_expired(frontier, now)
         if config.batch_mode == "exact":
             after, leases = fr.lease_batch(frontier, now, config.concurrency, config.lease_ms)
@@ -86,6 +89,8 @@ def crawl(spark: SparkSession, store, start_url: str, config: Config, *, now: in
             later = fr.earliest_eligible(frontier).head()[0]
             if later <= now:
                 break
+            if clock:
+                time.sleep(max(0, later - clock()) / 1000)
             now = later
             continue
         frontier = materialise(after, "frontier")

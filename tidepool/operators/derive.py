@@ -51,11 +51,11 @@ def _numbered(manifest: DataFrame, order: list[str], line: Column) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, head: list[str], path: str) -> None:
-    """A text file (in a folder of its own) of head and lines in their order; an empty table writes nothing."""
+    """A folder of text files whose parts, one after another, are head and lines in their order; an empty table writes nothing."""
     if lines.isEmpty():
         return
     first = lines.sparkSession.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "position bigint, line string")
-    first.unionByName(lines).repartition(1).sortWithinPartitions("position").select("line").write.mode("overwrite").text(path)
+    first.unionByName(lines).orderBy("position").select("line").write.mode("overwrite").text(path)
 
 
 def concatenation(manifest: DataFrame, documents: DataFrame) -> Iterator[str]:
@@ -67,6 +67,14 @@ def concatenation(manifest: DataFrame, documents: DataFrame) -> Iterator[str]:
         yield f"# {r['canonical_url']}\nurl: {r['canonical_url']}\n\n{r['document']}\n\n---\n\n"
 
 
+def concatenated(manifest: DataFrame, documents: DataFrame) -> DataFrame | None:
+    """The same, as one row (line) per page in order; None beyond MOST_CONCATENATED pages."""
+    if manifest.limit(MOST_CONCATENATED + 1).count() > MOST_CONCATENATED:
+        return None
+    both = manifest.select("canonical_url", "depth").join(documents.select("canonical_url", "document"), "canonical_url").orderBy("depth", "canonical_url")
+    return both.select(F.concat(F.lit("# "), "canonical_url", F.lit("\nurl: "), "canonical_url", F.lit("\n\n"), "document", F.lit("\n\n---\n")).alias("line"))
+
+
 def link_targets(document: Column) -> Column:
     """Targets of a document's Markdown links that are absolute http URLs, one for each time one stands there."""
     chunks = F.split(document, r"\]\(")

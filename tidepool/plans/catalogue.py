@@ -88,8 +88,20 @@ BAD = [
 ]
 
 
+_MADE_SQL = f"""SELECT page_id, ([{', '.join(repr(b[0] + b[1]) for b in BAD)}])[k] || regexp_extract(url, '^https?://([^/?#]+)', 1) || ([{', '.join("'" + b[2] + "'" for b in BAD)}])[k] AS made
+FROM (SELECT page_id, url, CAST(page_id % {len(BAD)} AS INTEGER) + 1 AS k FROM pages)"""
+
+
 @query(
-    f"SELECT page_id, ([{', '.join('NULL' if b[3] is None else repr(b[3]) for b in BAD)}])[CAST(page_id % {len(BAD)} AS INTEGER) + 1] AS error FROM pages"
+    rf"""WITH parts AS (SELECT page_id, made, lower(regexp_extract(made, '^([A-Za-z]+):', 1)) AS scheme, regexp_extract(made, '://([^/?#]*)', 1) AS authority, regexp_extract(made, '://[^/]*(/[^?#]*)', 1) AS path
+FROM ({_MADE_SQL})), hosts AS (SELECT *, lower(regexp_replace(authority, ':[0-9]*$', '')) AS host FROM parts)
+SELECT page_id, CASE
+  WHEN regexp_matches(made, '\s') THEN 'whitespace' WHEN contains(made, chr(92)) THEN 'backslash' WHEN regexp_matches(made, '^[^:]*:///') THEN 'missing_host'
+  WHEN regexp_matches(regexp_replace(path, '%[0-9A-Fa-f]{{2}}', '', 'g'), '%') THEN 'invalid_url' WHEN regexp_matches(path, '%(2[fF]|5[cC])') THEN 'encoded_separator'
+  WHEN regexp_matches(path, '%([01][0-9A-Fa-f]|7[fF])') OR regexp_matches(path, '/([.]%2[eE]|%2[eE][.]?|%2[eE]%2[eE])(/|$)') THEN 'encoded_traversal'
+  WHEN scheme NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN contains(authority, '@') THEN 'userinfo'
+  WHEN host = 'localhost' OR ends_with(host, '.localhost') OR host = 'local' OR ends_with(host, '.local') OR regexp_matches(host, '^(127[.][0-9.]+|0x7f[0-9a-f]{{6}})$') THEN 'unsafe_address' END AS error
+FROM hosts"""
 )
 def url_reject_reason(spark, sf_dir):
     k = F.pmod("page_id", F.lit(len(BAD))).cast("int")
@@ -342,9 +354,28 @@ def raw_anchor_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("position", "href"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def _decoded_sql(text: str) -> str:
+    for entity, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", chr(39) * 2), ("#39", chr(39) * 2), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"replace({text}, '&{entity};', '{sign}')"
+    return text
+
+
+_TITLE_SQL = _decoded_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_TITLE_SQL}, '\s+', ' ', 'g')) AS title FROM pages")
 def page_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return extract.extract_pages(table(spark, sf_dir, "pages"), key="page_id", base="url").select("page_id", "title")
+
+
+_ARTICLE_SQL = _decoded_sql(r"regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?b>|<!--.*?-->', '', 'gs'), '<[^>]*>', ' ', 'g')")
+
+
+@query(rf"SELECT page_id, trim(regexp_replace(regexp_replace({_ARTICLE_SQL}, '[*#_`\[\]\\]', '', 'g'), '\s+', ' ', 'g')) AS words FROM pages")
+def page_text(spark, sf_dir):
+    """What the extractor's Markdown says, without its marks."""
+    done = extract.extract_pages(table(spark, sf_dir, "pages"), key="page_id", base="url")
+    return done.select("page_id", F.trim(F.regexp_replace(F.regexp_replace("markdown", r"[*#_`\[\]\\]", ""), r"\s+", " ")).alias("words"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS collapsed FROM documents")
@@ -545,7 +576,11 @@ def crawl_report_rollup(spark, sf_dir):
     return derive.report(runs)
 
 
-@query("SELECT page_id, page_id % 3 > 0 AS modified FROM pages")
+@query(
+    """WITH fetched AS (SELECT page_id, url || '|' || page_id AS canonical_url, CASE WHEN page_id % 3 < 2 THEN 'a' END AS etag FROM pages),
+known AS (SELECT canonical_url, CASE WHEN page_id % 3 = 0 THEN 'a' ELSE 'b' END AS etag FROM fetched)
+SELECT page_id, f.etag IS NULL OR k.etag IS NULL OR f.etag <> k.etag AS modified FROM fetched f LEFT JOIN known k USING (canonical_url)"""
+)
 def conditional_fetch(spark, sf_dir):
     """A third of the pages have the etag that was stored, a third another, a third none."""
     k = F.col("page_id") % 3
@@ -554,7 +589,20 @@ def conditional_fetch(spark, sf_dir):
     return stores.conditional(pages, known).select("page_id", "modified")
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 4 THEN 'cross_origin' WHEN n_nationkey > 10 THEN 'too_many' END AS redirect_error, CAST(CASE WHEN n_nationkey % 5 <> 4 AND n_nationkey <= 10 THEN 200 ELSE 302 END AS INTEGER) AS status FROM nation")
+@query(
+    """WITH RECURSIVE store AS (
+  SELECT 'https://n' || n_nationkey || '.example' AS origin, 'https://n' || n_nationkey || '.example/' || h AS url, CAST(CASE WHEN h = n_nationkey THEN 200 ELSE 302 END AS INTEGER) AS status,
+         CASE WHEN n_nationkey % 5 = 4 THEN 'https://else.example/' || h ELSE '/' || (h + 1) END AS location
+  FROM (SELECT n_nationkey, unnest(range(0, n_nationkey + 1)) AS h FROM nation)),
+walk AS (
+  SELECT n_nationkey, 0 AS hops, s.origin, s.status, CASE WHEN s.location[1] = '/' THEN s.origin || s.location ELSE s.location END AS target
+  FROM nation n JOIN store s ON s.url = 'https://n' || n_nationkey || '.example/0'
+  UNION ALL
+  SELECT w.n_nationkey, w.hops + 1, s.origin, s.status, CASE WHEN s.location[1] = '/' THEN s.origin || s.location ELSE s.location END
+  FROM walk w JOIN store s ON s.url = w.target WHERE w.status = 302 AND w.hops < 10 AND starts_with(w.target, w.origin || '/'))
+SELECT n_nationkey, CASE WHEN status = 302 AND NOT starts_with(target, origin || '/') THEN 'cross_origin' WHEN status = 302 THEN 'too_many' END AS redirect_error, status
+FROM (SELECT *, max(hops) OVER (PARTITION BY n_nationkey) AS last FROM walk) WHERE hops = last"""
+)
 def redirect_follow(spark, sf_dir):
     """Nation k redirects k times before it answers; those with k % 5 = 4 leave their origin at once."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey")

@@ -1,13 +1,18 @@
 """Runs that leave a corpus in a folder, go on where the last one ended, and can be searched.
 
-A corpus folder holds manifest and errors (JSON lines), pages (Parquet by site), frontier/N (the state after run N), and the derived files index,
-summary and graph. A run writes its own files first and its frontier last, so one that fails is done again from the frontier before it.
+A corpus folder holds, for each run N, manifest/run=N and errors/run=N (JSON lines), pages/run=N (Parquet), frontier/N (the state after it), and the
+derived files index, summary, graph and full. A run writes its own files first and its frontier last, so one that fails is done again from the
+frontier before it, under the same number, and overwrites what it left.
 """
 
 from __future__ import annotations
 
 import json
+import sys
+import time
+from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +21,9 @@ from tidepool.config import Command, Config, help_text, parse_args
 from tidepool.functions.urls import host_slug
 from tidepool.operators import corpus, derive, search
 from tidepool.operators.crawl import Crawl, crawl
-from tidepool.runtime import materialise
+from tidepool.runtime import discard, materialise
 from tidepool.sources import http
-from tidepool.sources.stores import append_lines, read_lines, write_documents
+from tidepool.sources.stores import read_lines, write_documents, write_lines
 
 VERSION = "0.1.0"
 RUNS = "url string, written bigint, failed bigint, skipped bigint, pending bigint, changed bigint, unchanged bigint, truncated boolean"
@@ -49,7 +54,7 @@ class _Folder:
         self.fs.delete(self._path(self.root), True)
 
 
-def run_one(spark: SparkSession, store, url: str, config: Config, root: str, *, now: int = 0) -> Crawl:
+def run_one(spark: SparkSession, store, url: str, config: Config, root: str, *, now: int = 0, clock: Callable[[], int] | None = None) -> Crawl:
     """Crawls one URL into a corpus folder; goes on with the folder's frontier unless config.fresh."""
     folder = _Folder(spark, root)
     if config.fresh:
@@ -65,28 +70,38 @@ def run_one(spark: SparkSession, store, url: str, config: Config, root: str, *,
             known = spark.read.parquet(folder.at(f"frontier/{runs[0]}"))
     else:
         spark.createDataFrame([(print_of,)], "value string").coalesce(1).write.text(folder.at("fingerprint"))
-    done = crawl(spark, store, url, config, now=now, known=known)
-    commit(spark, folder, done.corpus)
+    done = crawl(spark, store, url, config, now=now, known=known, clock=clock)
+    run = (runs or [0])[0] + 1
+    commit(spark, folder, done.corpus, run)
     if not done.errors.isEmpty():
-        append_lines(done.errors, folder.at("errors"))
-    done.frontier.write.parquet(folder.at(f"frontier/{(runs or [0])[0] + 1}"))
+        write_lines(done.errors, folder.at(f"errors/run={run}"))
+    done.frontier.write.mode("overwrite").parquet(folder.at(f"frontier/{run}"))
     publish(spark, root)
     return done
 
 
-def commit(spark: SparkSession, folder: _Folder, pages: DataFrame) -> None:
-    """Adds pages that are new to the manifest; equal ones are left as they are, and others are a conflict."""
+def _manifest(spark: SparkSession, folder: _Folder, *, before: int | None = None, strict: bool = True) -> DataFrame:
+    """The manifest of all runs, or of those before one."""
+    runs = [n for n in folder.names("manifest") if before is None or int(n.removeprefix("run=")) < before]
+    if not runs:
+        return spark.createDataFrame([], corpus.MANIFEST)
+    parts = [read_lines(spark, folder.at(f"manifest/{n}"), corpus.MANIFEST, strict=strict) for n in runs]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def commit(spark: SparkSession, folder: _Folder, pages: DataFrame, run: int) -> None:
+    """Writes a run's pages that are new to the manifest; equal ones are left as they are, and others are a conflict."""
     made = corpus.manifest(pages)
-    old = read_lines(spark, folder.at("manifest"), corpus.MANIFEST) if folder.has("manifest") else spark.createDataFrame([], corpus.MANIFEST)
-    kinds = materialise(corpus.classify_commit(made, old), "commits")
+    kinds = materialise(corpus.classify_commit(made, _manifest(spark, folder, before=run)), "commits")
     bad = kinds.where("commit IN ('conflict', 'unsafe_path')").select("canonical_url", "commit").head()
     if bad:
         raise ValueError(f"{bad['canonical_url']}: {bad['commit']}")
     new = kinds.where("commit = 'new'").drop("commit")
-    if new.isEmpty():
-        return
-    write_documents(pages.join(new.select("canonical_url"), "canonical_url", "left_semi").join(new.select("canonical_url", "output_path"), "canonical_url").select("canonical_url", "output_path", "document"), folder.at("pages"))
-    append_lines(new, folder.at("manifest"))
+    if not new.isEmpty():
+        own = pages.join(new.select("canonical_url", "output_path"), "canonical_url")
+        write_documents(own.select("canonical_url", "output_path", "document"), folder.at(f"pages/run={run}"))
+        write_lines(new, folder.at(f"manifest/run={run}"))
+    discard(kinds)
 
 
 def open_corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -94,8 +109,7 @@ def open_corpus(spark: SparkSession, root: str) -> DataFrame:
     folder = _Folder(spark, root)
     if not folder.has("manifest"):
         raise FileNotFoundError(f"no corpus in {root}")
-    manifest = read_lines(spark, folder.at("manifest"), corpus.MANIFEST, strict=False)
-    return manifest.join(spark.read.parquet(folder.at("pages")).select("canonical_url", "document"), "canonical_url")
+    return _manifest(spark, folder, strict=False).join(spark.read.parquet(folder.at("pages")).select("canonical_url", "document"), "canonical_url")
 
 
 def publish(spark: SparkSession, root: str) -> None:
@@ -103,25 +117,28 @@ def publish(spark: SparkSession, root: str) -> None:
     folder = _Folder(spark, root)
     if not folder.has("manifest"):
         return
-    manifest = read_lines(spark, folder.at("manifest"), corpus.MANIFEST)
+    manifest, pages = _manifest(spark, folder), open_corpus(spark, root)
     derive.write_lines(derive.page_index(manifest), derive.INDEX_HEAD, folder.at("index"))
     derive.write_lines(derive.summary_index(manifest), derive.SUMMARY_HEAD, folder.at("summary"))
-    derive.graph_lines(derive.link_graph(open_corpus(spark, root))).withColumnRenamed("line", "value").write.mode("overwrite").text(folder.at("graph"))
+    derive.graph_lines(derive.link_graph(pages)).withColumnRenamed("line", "value").write.mode("overwrite").text(folder.at("graph"))
+    full = derive.concatenated(manifest, pages)
+    if full is not None:
+        full.write.mode("overwrite").text(folder.at("full"))
 
 
-def run(spark: SparkSession, store, urls: list[str], config: Config, *, now: int = 0) -> DataFrame:
+def run(spark: SparkSession, store, urls: list[str], config: Config, *, now: int = 0, clock: Callable[[], int] | None = None) -> DataFrame:
     """Crawls each URL, into a folder of its own by host or into one for all; the report of all runs and their totals."""
     rows = []
     for k, url in enumerate(urls):
         slug = spark.range(1).select(host_slug(F.lit(url))).head()[0]
         root = config.output if config.merge or len(urls) == 1 else f"{config.output.rstrip('/')}/{slug}"
         own = replace(config, fresh=config.fresh and (k == 0 or not config.merge))
-        rows.append(run_one(spark, store, url, own, root, now=now).row())
+        rows.append(run_one(spark, store, url, own, root, now=now, clock=clock).row())
     return derive.report(spark.createDataFrame(rows, RUNS))
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
-    """The command line: 0 all done, 1 in part, 2 wrong usage or no corpus."""
+    """The command line: 0 all done, 1 in part, 2 wrong usage or no corpus, 3 anything that ends a run."""
     try:
         command: Command = parse_args(args)
     except ValueError as e:
@@ -145,7 +162,13 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         return 0
     c = command.config
     store = http.live(timeout_ms=c.timeout_ms, most_bytes=c.max_body_size, allow_private=c.allow_private_network, delay_ms=c.delay_ms)
-    report = run(spark, store, command.urls, c).orderBy(F.col("url").asc_nulls_last()).collect()
+    clock = lambda: int(time.time() * 1000)
+    try:
+        # a live crawl takes a batch at a time, so that its budget is checked after each
+        report = run(spark, store, command.urls, replace(c, batch_mode="exact"), now=clock(), clock=clock).orderBy(F.col("url").asc_nulls_last()).collect()
+    except Exception as e:  # noqa: BLE001 - said and told by the exit code
+        print(f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
+        return 3
     for r in report:
         print(json.dumps(r.asDict()) if c.report == "json" else f"{r['url'] or 'total'}: {r['written']} written, {r['failed']} failed, {r['skipped']} skipped, {r['pending']} pending" + (" (truncated)" if r["truncated"] else ""))
     return max(r["exit_code"] for r in report)

@@ -42,7 +42,7 @@ def checked_address(host: str, port: int, allow_private: bool) -> str:
 
 
 def fetch(url: str, *, timeout: float, most_bytes: int, allow_private: bool, etag: str | None = None) -> tuple:
-    """One response as a row of the store; status is null if there was none or its body is too large."""
+    """One response as a row of the store; status is null if there was none. Of a body that is too large, one byte more than may be is kept, which tells."""
     parts = urlsplit(url)
     port = parts.port or (443 if parts.scheme == "https" else 80)
     try:
@@ -59,8 +59,6 @@ def fetch(url: str, *, timeout: float, most_bytes: int, allow_private: bool, eta
             connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers=headers)
             answer = connection.getresponse()
             body = answer.read(most_bytes + 1)
-            if len(body) > most_bytes:
-                return (url, None, None, None, None, None)
             return (url, answer.status, answer.getheader("Content-Type"), body.decode("utf-8", "replace"), answer.getheader("Location"), answer.getheader("ETag"))
         finally:
             connection.close()

@@ -88,8 +88,8 @@ def read_lines(spark: SparkSession, path: str, schema: str, *, strict: bool = Tr
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def append_lines(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def write_lines(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
 
 
 def read_documents(spark: SparkSession, directory: str) -> DataFrame:
@@ -99,6 +99,5 @@ def read_documents(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def write_documents(corpus: DataFrame, path: str) -> None:
-    """The corpus as Parquet, by site: one folder a host, files of a bounded size instead of one file a page."""
-    site = F.regexp_extract("canonical_url", r"^[a-z]+://([^/?#]*)", 1)
-    corpus.withColumn("site", F.translate(site, ":", "_")).write.mode("append").option("maxRecordsPerFile", 50_000).partitionBy("site").parquet(path)
+    """The corpus as Parquet, in files of a bounded size instead of one file a page, sorted by URL within each."""
+    corpus.sortWithinPartitions("canonical_url").write.mode("overwrite").option("maxRecordsPerFile", 50_000).parquet(path)
