@@ -10,7 +10,7 @@ import pytest
 from tidepool.config import Config, ConfigError, parse_args, parse_bytes, parse_duration
 from tidepool.operators.crawl import crawl
 from tidepool.runtime import materialise
-from tidepool.sources.http import HttpSource
+from tidepool.sources.http import HttpSource, live
 from tidepool.sources.stores import STORE
 from tidepool.streaming import recrawl
 
@@ -87,7 +87,7 @@ def test_live_source_on_loopback(spark):
             self.send_header("Content-Type", "text/html")
             self.send_header("Location", "/x") if self.path == "/r" else None
             self.end_headers()
-            self.wfile.write(b"<main>hi</main>" * (1000 if self.path == "/big" else 1))
+            self.wfile.write(b"<main>\xe9</main>" if self.path == "/latin" else b"<main>hi</main>" * (1000 if self.path == "/big" else 1))
 
         def log_message(self, *a):
             pass
@@ -96,10 +96,14 @@ def test_live_source_on_loopback(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     spark.dataSource.register(HttpSource)
-    read = lambda **o: {r["url"].removeprefix(base): r for r in spark.read.format("tidepool_http").options(urls=json.dumps([f"{base}/a", f"{base}/r", f"{base}/big"]), max_body_size="1000", **o).load().collect()}
+    read = lambda **o: {r["url"].removeprefix(base): r for r in spark.read.format("tidepool_http").options(urls=json.dumps([f"{base}/a", f"{base}/r", f"{base}/big", f"{base}/latin"]), max_body_size="1000", **o).load().collect()}
     got = read(allow_private="true")
-    assert (got["/a"]["status"], got["/a"]["body"], got["/r"]["location"], got["/big"]["status"]) == (200, "<main>hi</main>", "/x", None)
+    assert (got["/a"]["status"], got["/a"]["body"], got["/a"]["utf8"], got["/r"]["location"]) == (200, "<main>hi</main>", True, "/x")
+    assert (got["/big"]["status"], len(got["/big"]["body"])) == (200, 1001)  # one byte more than may be
+    assert (got["/latin"]["body"], got["/latin"]["utf8"]) == ("<main>\ufffd</main>", False)
     assert {r["status"] for r in read().values()} == {None}  # loopback is no public address
+    done = crawl(spark, live(allow_private=True), f"{base}/latin", Config(sitemap="off", allow_private_network=True, ignore_robots=True))
+    assert (done.written, done.failed, done.errors.head()["error_kind"]) == (0, 1, "not_html")
     server.shutdown()
 
 

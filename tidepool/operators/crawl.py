@@ -120,7 +120,7 @@ def _step(spark, frontier, leases, store, rules, root, origin, config, wanted, l
     judged = materialise(judged.withColumn("gate", gate).select("canonical_url", "depth", "attempts", "lease_token", "gate"), "judged")
     asked = judged.where("gate IS NULL")
     got = follow_redirects(asked.select(F.col("canonical_url").alias("url")), store).withColumnRenamed("url", "canonical_url")
-    why = F.coalesce("redirect_error", fetch_error(F.col("status"), F.col("content_type"), F.col("body"), config.max_body_size))
+    why = F.coalesce("redirect_error", fetch_error(F.col("status"), F.col("content_type"), F.col("body"), config.max_body_size), F.when(~F.col("utf8"), "not_html"))
     got = asked.join(got, "canonical_url").withColumn("why", why)
     fetched = materialise(got, "fetched")
     pages = extract_pages(fetched.where("why IS NULL").select("canonical_url", "final_url", "body"), key="canonical_url", base="final_url", html="body", limits=limits)

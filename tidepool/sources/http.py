@@ -1,4 +1,4 @@
-"""Live pages as a Spark data source: `spark.read.format("tidepool_http").schema(STORE)` with option urls (JSON list).
+"""Live pages as a Spark data source: `spark.read.format("tidepool_http").schema(LIVE)` with option urls (JSON list).
 
 URLs of one host stay in one partition, so that a host is asked by one task at a time. Addresses are checked where the request is made: every
 address that a name resolves to must be public unless allow_private is set.
@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidepool.functions.addresses import classify
 from tidepool.runtime import ensure_workers
-from tidepool.sources.stores import STORE
+from tidepool.sources.stores import LIVE
 
 
 class _Host(InputPartition):
@@ -42,7 +42,7 @@ def checked_address(host: str, port: int, allow_private: bool) -> str:
 
 
 def fetch(url: str, *, timeout: float, most_bytes: int, allow_private: bool, etag: str | None = None) -> tuple:
-    """One response as a row of the store; status is null if there was none. Of a body that is too large, one byte more than may be is kept, which tells."""
+    """One response as a row of a live store; status is null if there was none. Of a body that is too large, one byte more than may be is kept, which tells."""
     parts = urlsplit(url)
     port = parts.port or (443 if parts.scheme == "https" else 80)
     try:
@@ -59,11 +59,12 @@ def fetch(url: str, *, timeout: float, most_bytes: int, allow_private: bool, eta
             connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers=headers)
             answer = connection.getresponse()
             body = answer.read(most_bytes + 1)
-            return (url, answer.status, answer.getheader("Content-Type"), body.decode("utf-8", "replace"), answer.getheader("Location"), answer.getheader("ETag"))
+            text = body.decode("utf-8", "replace")
+            return (url, answer.status, answer.getheader("Content-Type"), text, answer.getheader("Location"), answer.getheader("ETag"), text.encode() == body)
         finally:
             connection.close()
     except (OSError, http.client.HTTPException):
-        return (url, None, None, None, None, None)
+        return (url, None, None, None, None, None, None)
 
 
 def live(*, timeout_ms: int = 30_000, most_bytes: int = 10 << 20, allow_private: bool = False, delay_ms: int = 0) -> Callable[[DataFrame], DataFrame]:
@@ -75,12 +76,12 @@ def live(*, timeout_ms: int = 30_000, most_bytes: int = 10 << 20, allow_private:
             for url in batch["url"]:
                 rows.append(fetch(url, timeout=timeout_ms / 1000, most_bytes=most_bytes, allow_private=allow_private))
                 time.sleep(delay_ms / 1000)
-            out = pd.DataFrame(rows, columns=["url", "status", "content_type", "body", "location", "etag"])
-            yield out.astype({"status": "Int32"})
+            out = pd.DataFrame(rows, columns=["url", "status", "content_type", "body", "location", "etag", "utf8"])
+            yield out.astype({"status": "Int32", "utf8": "boolean"})
 
     def store(urls: DataFrame) -> DataFrame:
         ensure_workers(urls.sparkSession)
-        return urls.select("url").repartition(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1)).mapInPandas(run, STORE)
+        return urls.select("url").repartition(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1)).mapInPandas(run, LIVE)
 
     return store
 
@@ -109,7 +110,7 @@ class HttpSource(DataSource):
         return "tidepool_http"
 
     def schema(self) -> str:
-        return STORE
+        return LIVE
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)

@@ -1,7 +1,7 @@
 """Where pages come from: stored responses, and what a response means before its page is read.
 
-A store is a table of responses: url, status int, content_type, body string, location, etag. Live fetching is a data source of the same shape
-(tidepool.sources.http).
+A store is a table of responses: url, status int, content_type, body string, location, etag. Live fetching is a data source of that shape with
+one column more (tidepool.sources.http).
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from tidepool.runtime import materialise
 
 #: A store is a table of responses, or a function from a table of URLs (url) to their responses, as live fetching is.
 STORE = "url string, status int, content_type string, body string, location string, etag string"
+#: What a live store answers: utf8 is false if bytes of the body that aren't UTF-8 were replaced.
+LIVE = f"{STORE}, utf8 boolean"
 MOST_HOPS = 10
 
 
@@ -52,14 +54,16 @@ def fetch_error(status: Column, content_type: Column, body: Column, most_bytes:
 
 
 def follow_redirects(requests: DataFrame, store: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """requests (url) with final_url, status, content_type, body, etag and redirect_error (cross_origin, too_many, no_location).
+    """requests (url) with final_url, status, content_type, body, etag, utf8 and redirect_error (cross_origin, too_many, no_location).
 
     A URL that the store doesn't hold answers 404. Each round follows one hop of the requests that are still redirected, so a round joins only those.
     """
     now = requests.select("url", F.col("url").alias("at"))
     done: DataFrame | None = None
     for k in range(MOST_HOPS + 1):
-        hop = (lookup(store, now.select(F.col("at").alias("url"))) if callable(store) else store).select(F.col("url").alias("at"), F.lit(True).alias("there"), "status", "content_type", "body", "location", "etag")
+        held = lookup(store, now.select(F.col("at").alias("url"))) if callable(store) else store
+        utf8 = F.col("utf8") if "utf8" in held.columns else F.lit(True)
+        hop = held.select(F.col("url").alias("at"), F.lit(True).alias("there"), "status", "content_type", "body", "location", "etag", utf8.alias("utf8"))
         got = now.join(hop, "at", "left").withColumn("status", F.when(F.col("there"), F.col("status")).otherwise(404)).drop("there")
         moved = F.coalesce(F.col("status").between(300, 399), F.lit(False))
         scheme = F.regexp_extract("at", r"^([a-z]+)://", 1)
@@ -69,7 +73,7 @@ def follow_redirects(requests: DataFrame, store: DataFrame | Callable[[DataFrame
         if k == MOST_HOPS:
             error = F.coalesce(error, F.when(moved, "too_many"))
         got = materialise(got.withColumns({"moved": moved, "redirect_error": error, "target": target}), "hops")
-        ended = got.where("NOT moved OR redirect_error IS NOT NULL").select("url", F.col("at").alias("final_url"), "status", "content_type", "body", "etag", "redirect_error")
+        ended = got.where("NOT moved OR redirect_error IS NOT NULL").select("url", F.col("at").alias("final_url"), "status", "content_type", "body", "etag", "utf8", "redirect_error")
         done = ended if done is None else done.unionByName(ended)
         now = got.where("moved AND redirect_error IS NULL").select("url", F.col("target").alias("at"))
         if now.isEmpty():
