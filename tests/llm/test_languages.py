@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.llm import edge
-from tidepool.llm.languages import UND, Settings, codewords, fit, grams, held_out, identify
+from tidepool.llm.languages import UND, Settings, codewords, fit, grams, held_out, identify, sample
 
 VOICES = {"aa": "abcdeé", "bb": "fghijkl", "cc": "mnopqr", "dd": "stuvwx", "ee": "zyaxbñ", "ff": "aeioubcd", "gg": "xyzklmn", "hh": "qwertü"}
 
@@ -55,6 +55,13 @@ def test_labels_of_held_out_rows_are_never_read(spark):
     assert one.languages == two.languages and (one.weights == two.weights).all()
 
 
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    rows = [(i, f"text {i}", "aa") for i in range(3000)] + [(None, "one text", "bb")] * 900 + [(7, f"text {i}", "cc") for i in range(900)] + [(i, "x", "dd") for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, text string, lang string")
+    got = {r["lang"]: r["count"] for r in sample(df, {"aa": 3000, "bb": 900, "cc": 900, "dd": 20}, 50).groupBy("lang").count().collect()}
+    assert got["aa"] == got["cc"] == 50 and got.get("bb", 0) in (0, 50) and got["dd"] == 20
+
+
 def test_ambiguous_texts_are_flagged(spark):
     df = spark.createDataFrame(made(400, ["aa", "bb"]), "doc_id bigint, text string, lang string")
     model = fit(df)

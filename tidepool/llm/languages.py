@@ -5,9 +5,9 @@ word whose bits lose least, each loss weighted by how far apart its classifier p
 near tie between two words is flagged as ambiguous. Codewords of two languages differ in the one bit there is and those of three in two, so
 errors of single bits are outvoted from four languages on.
 
-The classifiers are fitted on about `per_language` labelled rows of each language: each row is drawn by a hash of its id with the probability
-that makes this the mean, so the number varies by its root, and rows of one id are drawn together;
-what reaches the driver is one count per language and n-gram bucket, at most languages x BUCKETS rows.
+The classifiers are fitted on at most `per_language` labelled rows of each language, those with the smallest hashes of id and text; a draw
+by that hash comes first, so that little more than these rows is moved. What reaches the driver is one count per language and n-gram bucket,
+at most languages x BUCKETS rows.
 
 Cases: null texts and texts without letters are `und` with score 0; a null language is never learned; with one language learned, that one
 is predicted with score 1; with none (an empty table), `und`; texts of any length are read whole; repeated rows get equal results; ties
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,7 @@ UND = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """per_language: labelled rows per language that the classifiers are fitted on, on average. most_bits: columns of the code beyond
+    """per_language: labelled rows per language that the classifiers are fitted on, at most. most_bits: columns of the code beyond
     which an exhaustive code is not used. ambiguous: least lead of the best codeword, as a share of the whole loss."""
 
     per_language: int = 3000
@@ -138,6 +138,16 @@ class Model:
         return names, score, unclear
 
 
+def sample(known: DataFrame, sizes: dict[str, int], most: int) -> DataFrame:
+    """Of each language the `most` rows of (id, text, lang) with the smallest hashes, all if there are no more."""
+    room = most + 4 * most**0.5 + 16  # so that the draw leaves too few rows about once in 30,000 fits
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, room / n))])
+    draw = F.pmod(F.xxhash64(F.lit("language"), "id", "text"), F.lit(1 << 30))
+    drawn = known.withColumn("draw", draw).where(F.col("draw") / F.lit(float(1 << 30)) < share[F.col("lang")])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
+    return drawn.withColumn("place", place).where(F.col("place") <= most)
+
+
 def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
     """A model of the languages of df's labelled rows; rows whose language or text is null are not learned."""
     ensure_workers(df.sparkSession)
@@ -149,9 +159,7 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
     code = codewords(len(languages), settings.most_bits)
     if len(languages) == 1:
         return Model(languages, code, np.zeros((0, BUCKETS)), np.zeros(0), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, settings.per_language / sizes[k]))])
-    draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(draw < share[F.col("lang")]).select("lang", "text")
+    chosen = sample(known, sizes, settings.per_language).select("lang", "text")
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
