@@ -49,6 +49,31 @@ def test_spans_tile_the_source(both):
                     assert data[b:e].decode() == (shown if b or not shown.startswith(" ") or data[b:e].decode() == shown else shown[1:])
 
 
+def library_spans(library, text):
+    """(first source byte, the byte after the last) of each piece, by the library."""
+    from sentencepiece import sentencepiece_pb2
+
+    found = sentencepiece_pb2.SentencePieceText()
+    found.ParseFromString(library.encode(text, out_type="serialized_proto"))
+    return [(p.begin, p.end) for p in found.pieces]
+
+
+def test_spans_equal_the_library(both):
+    codec, library = both
+    for t in texts():
+        _, begins, ends, _ = codec.encode(t)
+        assert list(zip(begins.tolist(), ends.tolist())) == library_spans(library, t)
+
+
+def test_the_vectorised_record_equals_the_general_one(both):
+    codec, _ = both
+    general = Codec(PATH)
+    general.identity = False
+    for t in texts():
+        (one, a), (two, b) = codec.normalise(t), general.normalise(t)
+        assert one == two and a.tolist() == b.tolist()
+
+
 def test_long_chunks_merge_alike(both):
     codec, library = both
     rng = random.Random(5)
@@ -117,7 +142,7 @@ def test_mapped_normalisation_equals_the_library(squeeze):
         want = library.encode(t)
         assert ids.tolist() == want
         assert decoded == library.decode(want)
-        assert all(0 <= b <= e <= len(t.encode()) for b, e in zip(begins, ends))
+        assert list(zip(begins.tolist(), ends.tolist())) == library_spans(library, t)
 
 
 def test_operator_on_edge_rows(spark, both):

@@ -4,7 +4,8 @@ Normalisation reads the longest prefix from the model's compiled character map a
 it came from. Pieces are found in the normalised text, then projected through that record to byte spans of the original.
 
 The normalised text is cut where no piece of the vocabulary can reach across (before a space mark, and around characters that only ever
-stand alone), so equal chunks always encode alike and each distinct chunk of a task is encoded once.
+stand alone), so equal chunks always encode alike and each distinct short chunk of a task is merged once. Of a character that falls back to
+bytes the last byte's piece spans it, those before are empty. The decoded text is that of the whole id sequence.
 
 Cases: a null text is an empty one; an empty text has no pieces and decodes to ''; texts of any length are encoded whole; repeated rows
 are encoded alike; an empty table gives an empty one; other columns of the input are ignored.
@@ -31,8 +32,8 @@ MARK = "▁"
 WORST = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_TEXT = " ⁇ "
-#: Chunks remembered in a task; beyond that the memory starts anew (results stay the same).
-REMEMBER = 400_000
+#: Chunks of at most so many characters are remembered in a task, so many of them; beyond that the memory starts anew (results stay the same).
+REMEMBER, REMEMBER_LENGTH = 400_000, 256
 
 
 #: Latin, Greek and Cyrillic letters, and what is neither letter, digit nor mark in any script.
@@ -105,24 +106,29 @@ class Codec:
         within = {c for p in long for c in p}
         lone = "" if "\n" in within else "\n"
         space = f"{MARK} " if self.escape else MARK
-        #: Each source chunk can be encoded by itself: nothing is rewritten but spaces, and nothing is unknown.
-        self.plain = self.map is None and not self.squeeze and not self.user and self.escape and self.prefix and not self.suffix and self.fallback and not joins
-        self.width = [len(p.encode()) - 2 * p.count(MARK) for p in self.pieces]
+        #: Normalisation rewrites nothing but spaces, and begins the text with a mark.
+        self.identity = self.map is None and not self.squeeze and not self.user and self.escape and self.prefix and not self.suffix
+        self.surface = [self._surface([i]) if t != BYTE else chr(int(p[3:5], 16)) for i, (p, t) in enumerate(zip(self.pieces, self.types))]
+        #: Ids whose bytes mean something only together with their neighbours.
+        self.partial = np.array([t == BYTE and int(p[3:5], 16) > 127 for p, t in zip(self.pieces, self.types)])
+        # bytes of normalised text that an id stands for
+        self.width = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types)], np.int64)
         self.join_score = {p: self.scores[i] for p, i in self.ids.items() if len(p) > 1}
         # a letter ends its chunk before a sign where no piece has a letter and a sign in a row
         ends = not any(_letter.match(a) and _sign.match(b) and b != MARK for p in long for a, b in zip(p, p[1:]))
         word = f"[{space}]*{_letter.pattern}+(?=[^\\w{space}])|" if ends else ""
         self.cut = re.compile(f"{word}[{space}]*[^{space}{lone}]+|[{space}]+|{lone or '(?!)'}+" if not joins and not self.user else "(?s).+")
-        self.known: dict[str, tuple] = {}
-        self.known_first: dict[str, tuple] = {}
+        self.known: dict[str, bytes] = {}
 
     # -- normalisation
 
-    def normalise(self, text: str) -> tuple[str, list[int]]:
-        """(normalised text, for each of its bytes and its end the source byte it came from)."""
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
+        """(normalised text, for each of its bytes and its end where the source characters begin that it came from)."""
         data = text.encode()
         if not data:
-            return "", [0]
+            return "", np.zeros(1, np.int64)
+        if self.identity:
+            return MARK + text.replace(" ", MARK), self._unchanged(data)
         out, source, n = bytearray(), [], len(data)
         mark = MARK.encode() if self.escape else b" "
 
@@ -147,7 +153,7 @@ class Codec:
                 break
             at += size
         if at == n:
-            return "", [n]
+            return "", np.array([n])
         if self.prefix and not self.suffix:
             put(mark, at)
         was_space = self.squeeze
@@ -168,7 +174,17 @@ class Codec:
             del out[-len(mark) :], source[-len(mark) :]
         if self.prefix and self.suffix:
             put(mark, end)
-        return out.decode("utf-8", "replace"), [*source, end]
+        return out.decode("utf-8", "replace"), np.array([*source, end], np.int64)
+
+    @staticmethod
+    def _unchanged(data: bytes) -> np.ndarray:
+        """The record of a normalisation that puts a mark first and one in place of each space."""
+        raw = np.frombuffer(data, np.uint8)
+        at = np.arange(len(raw))
+        if not data.isascii():
+            at[raw & 0xC0 == 0x80] = 0
+            np.maximum.accumulate(at, out=at)
+        return np.concatenate([np.zeros(3, np.int64), np.repeat(at, np.where(raw == 0x20, 3, 1)), [len(raw)]])
 
     # -- pieces of a normalised chunk
 
@@ -241,81 +257,44 @@ class Codec:
                 out.append((self.unknown, len(p.encode())))
         return out
 
-    def _chunk(self, chunk: str, first: bool) -> tuple[int, bytes, bytes, str]:
-        """Of a source chunk of a plain model: ids, their ids and their source lengths as little-endian ints, and what they decode to."""
-        text = chunk.replace(" ", MARK)
-        pieces = self.merge(MARK + text if first else text)
-        if MARK not in chunk:
-            try:
-                ids = [self.ids[p] for p in pieces]
-            except KeyError:
-                pass
-            else:
-                surface = text.replace(MARK, " ")  # what these pieces decode to
-                spans = [self.width[i] for i in ids]
-                spans[0] -= first
-                return len(ids), pack(f"<{len(ids)}i", *ids), pack(f"<{len(ids)}i", *spans), surface
-        source = [3 if c == MARK else len(c.encode()) for c in chunk]
-        if first:
-            source = [0, *source]
-        ids, spans, at = [], [], 0
-        for piece in pieces:
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
-                spans.append(sum(source[at : at + len(piece)]))
-            else:
-                ids += [self.bytes[b] for b in piece.encode()]
-                spans += [1] * len(piece.encode())
-            at += len(piece)
-        surface = self._surface(ids)
-        return len(ids), np.array(ids, "<i4").tobytes(), np.array(spans, "<i4").tobytes(), surface[1:] if first and surface[:1] == " " else surface
-
     # -- whole texts
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
         """(ids, first source byte and the byte after the last of each piece, decoded text)."""
-        if not self.plain:
-            return self._encode_mapped(text)
-        parts = self.parts(text)
-        ids = np.frombuffer(b"".join([p[1] for p in parts]), "<i4")
-        ends = np.cumsum(np.frombuffer(b"".join([p[2] for p in parts]), "<i4"), dtype=np.int64)
-        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        return ids, begins, ends, "".join([p[3] for p in parts])
-
-    def parts(self, text: str) -> list[tuple[int, bytes, bytes, str]]:
-        chunks = self.cut.findall(text)
-        if not chunks:
-            return []
-        known = self.known
+        normal, source = self.normalise(text)
+        if self.fallback:
+            ids = np.frombuffer(b"".join(self._chunks(normal)), "<i4")
+            ends = np.cumsum(self.width[ids])
+        else:
+            ids, ends = self._with_unknown(normal)
+        edges = source[np.concatenate([[0], ends])] if len(ids) else np.zeros(1, np.int64)
+        return ids, edges[:-1], edges[1:], self.decode(ids)
+
+    def _chunks(self, normal: str) -> list[bytes]:
+        """The ids of each chunk of a normalised text, as little-endian ints."""
+        known, out = self.known, []
         if len(known) > REMEMBER:
             known.clear()
-            self.known_first.clear()
-        head = self.known_first.get(chunks[0])
-        if head is None:
-            head = self.known_first[chunks[0]] = self._chunk(chunks[0], True)
-        out = [head]
-        for c in chunks[1:]:
-            p = known.get(c)
-            if p is None:
-                p = known[c] = self._chunk(c, False)
-            out.append(p)
+        for c in self.cut.findall(normal):
+            got = known.get(c)
+            if got is None:
+                ids = [i for i, _ in self.to_ids(self.merge(c))]
+                got = pack(f"<{len(ids)}i", *ids)
+                if len(c) <= REMEMBER_LENGTH:
+                    known[c] = got
+            out.append(got)
         return out
 
-    def _encode_mapped(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-        normal, source = self.normalise(text)
+    def _with_unknown(self, normal: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each ends in the normalised text) for a model without bytes: unknown pieces in a row are one, across chunks too."""
         ids: list[tuple[int, int]] = []
         for chunk in self.cut.findall(normal):
             for i, size in self.to_ids(self.merge(chunk)):
-                if i == self.unknown and ids and ids[-1][0] == i and not self.fallback:
+                if i == self.unknown and ids and ids[-1][0] == i:
                     ids[-1] = i, ids[-1][1] + size
                 else:
                     ids.append((i, size))
-        ends = np.cumsum([s for _, s in ids], dtype=np.int64) if ids else np.zeros(0, np.int64)
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if ids else ends
-        src = np.array(source, np.int64)
-        out = np.array([i for i, _ in ids], np.int32)
-        return out, src[begins], src[ends], self.decode(out.tolist())
+        return np.array([i for i, _ in ids], np.int32), np.cumsum([n for _, n in ids], dtype=np.int64)
 
     def _surface(self, ids: list[int]) -> str:
         out, held = [], bytearray()
@@ -335,11 +314,13 @@ class Codec:
             out.append(_utf8(bytes(held)))
         return "".join(out)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: the space that stands before the first piece goes, bytes that aren't UTF-8 become U+FFFD each."""
-        text = self._surface(ids)
+        ids = np.asarray(ids, np.int64)
+        listed = ids.tolist()
+        text = self._surface(listed) if self.partial[ids].any() else "".join([self.surface[i] for i in listed])
         if text[:1] == " " and (self.prefix or self.squeeze):
-            first = next((i for i in ids if self.types[i] != CONTROL), None)
+            first = next((i for i in listed if self.types[i] != CONTROL), None)
             if first is not None and self.types[first] in (NORMAL, USER) and self.pieces[first].startswith(MARK):
                 text = text[1:]
         return text

@@ -35,6 +35,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         F.when(F.size("ends") > 0, F.element_at("ends", -1)).otherwise(0).cast("long").alias("source_bytes"),
+        F.xxhash64("begins", "ends").alias("spans_xxhash64"),
     )
 
 
