@@ -102,3 +102,30 @@ def test_folders_by_host_and_fresh_runs(spark, tmp_path):
     assert session.open_corpus(spark, f"{tmp_path}/out/x.example").count() == 1
     again = session.run_one(spark, store, urls[0], Config(output="o", sitemap="off", fresh=True), f"{tmp_path}/out/x.example")
     assert again.written == 1
+
+
+def test_versions_of_the_frontier(spark, tmp_path):
+    rows = [(f"https://x.example{p}", 200, "text/html", f"<main>{p}<a href='/2'>2</a></main>", None, f"tag{p}") for p in ("/", "/2")]
+    store = materialise(spark.createDataFrame(rows, STORE), "web")
+    out, config = f"{tmp_path}/out", Config(sitemap="off")
+    first = session.run_one(spark, store, "https://x.example/", config, out)
+    kept = {r["canonical_url"]: (r["final_url"], r["status_code"], r["etag"]) for r in first.frontier.collect()}
+    assert kept == {u: (u, 200, f"tag{u.removeprefix('https://x.example')}") for u in ("https://x.example/", "https://x.example/2")}
+    old = materialise(spark.read.parquet(f"{out}/frontier/1").drop("etag", "last_modified"), "old")
+    old.write.mode("overwrite").parquet(f"{out}/frontier/1")
+    spark.createDataFrame([("0",)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/version")
+    assert session.run_one(spark, store, "https://x.example/", config, out).written == 2
+    assert "etag" in spark.read.parquet(f"{out}/frontier/2").columns and spark.read.text(f"{out}/version").head()[0] == str(session.STATE_VERSION)
+    spark.createDataFrame([("99",)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/version")
+    with pytest.raises(session.StateVersionError):
+        session.run_one(spark, store, "https://x.example/", config, out)
+
+
+def test_a_stopped_run_leaves_the_rest_pending_and_goes_on(spark, tmp_path):
+    rows = [(f"https://x.example/{k or ''}", 200, "text/html", f"<main>{k}<a href='/{k + 1}'>next</a></main>", None, None) for k in range(4)]
+    store = materialise(spark.createDataFrame(rows, STORE), "web")
+    out, config, asked = f"{tmp_path}/out", Config(sitemap="off", max_depth=3), []
+    early = session.run_one(spark, store, "https://x.example/", config, out, stop=lambda: asked.append(1) or len(asked) > 2)
+    assert (early.written, early.pending, early.exit_code) == (2, 1, 1)
+    late = session.run_one(spark, store, "https://x.example/", config, out)
+    assert (late.written, late.pending, late.exit_code) == (4, 0, 0) and session.open_corpus(spark, out).count() == 4

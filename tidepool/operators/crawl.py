@@ -28,6 +28,10 @@ from tidepool.sources.stores import fetch_error, follow_redirects, lookup
 CORPUS = "canonical_url string, depth int, final_url string, status_code int, title string, description string, markdown string, document string"
 
 
+#: What the frontier keeps of a response.
+RESPONSE = (("final_url", "string"), ("status_code", "int"), ("etag", "string"))
+
+
 @dataclass
 class Crawl:
     """frontier, corpus (pages written), manifest and errors as tables; the report's counters, and whether the page budget ended it."""
@@ -53,8 +57,11 @@ class Crawl:
         return (self.start_url, self.written, self.failed, self.skipped, self.pending, self.changed, self.unchanged, self.truncated)
 
 
-def crawl(spark: SparkSession, store, start_url: str, config: Config, *, now: int = 0, known: DataFrame | None = None, clock: Callable[[], int] | None = None) -> Crawl:
-    """Crawls a store (tidepool.sources.stores.STORE, or a function from URLs to it) from one URL. known: the frontier of a run to go on with."""
+def crawl(spark: SparkSession, store, start_url: str, config: Config, *, now: int = 0, known: DataFrame | None = None, clock: Callable[[], int] | None = None, stop: Callable[[], bool] | None = None) -> Crawl:
+    """Crawls a store (tidepool.sources.stores.STORE, or a function from URLs to it) from one URL.
+
+    known: the frontier of a run to go on with. stop: asked before each step; once it says so, what is left stays pending.
+    """
     config.validate()
     root = urls.canonicalize(start_url, keep_query=True, allow_private=config.allow_private_network)
     origin = f"{root.scheme}://{root.host}" + ("" if root.port == {"http": 80, "https": 443}[root.scheme] else f":{root.port}")
@@ -75,7 +82,7 @@ def crawl(spark: SparkSession, store, start_url: str, config: Config, *, now: in
     errors: DataFrame | None = None
     n_failed = n_changed = 0
     limits = page.Limits(config.max_body_size, 2 << 20, 10_000)
-    while True:
+    while not (stop and stop()):
         now = clock() if clock else now
         frontier = fr.recover_expired(frontier, now)
         if config.batch_mode == "exact":
@@ -133,8 +140,8 @@ def _step(spark, frontier, leases, store, rules, root, origin, config, wanted, l
     again = fr.retryable(F.col("status")) | (F.col("why") == "network")
     again = F.coalesce(again, F.lit(False)) & (F.col("attempts") < config.retries)
     text = lambda c: F.lit(c).cast("string")
-    one = lambda d, kind, error, until=F.lit(None).cast("bigint"): d.select("canonical_url", "lease_token", F.lit(kind).alias("outcome"), error.alias("error"), until.alias("next_eligible_at"))
-    bad = fetched.where("why IS NOT NULL").withColumn("again", again)
+    one = lambda d, kind, error, until=F.lit(None).cast("bigint"): d.select("canonical_url", "lease_token", F.lit(kind).alias("outcome"), error.alias("error"), until.alias("next_eligible_at"), *[F.col(c) if "etag" in d.columns else F.lit(None).cast(t).alias(c) for c, t in RESPONSE])
+    bad = fetched.where("why IS NOT NULL").withColumn("again", again).drop("final_url", "etag")
     results = one(judged.where("gate = 'robots_denied'"), "skipped", text("robots_denied"))
     for part in (
         one(judged.where("gate IN ('invalid_url', 'robots_fetch_failed')"), "terminal_error", F.col("gate")),
